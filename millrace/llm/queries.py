@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec, token_store
+from . import line_dedup, mixing, quality_rules, sentencepiece_codec, sharding, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,26 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_documents(spark, sf_dir))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_bytes(_documents(spark, sf_dir))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op8_token_output)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op5_line_dedup, op6_sharding, op8_token_output, op9_quality_rules)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}

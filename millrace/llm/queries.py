@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, sentencepiece_codec, sharding, token_store
+from . import line_dedup, mixing, neighbours, quality_model, quality_rules, sentencepiece_codec, sharding, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_model.scored(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_documents(spark, sf_dir))
 
@@ -32,6 +37,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.by_bytes(_documents(spark, sf_dir))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +49,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op5_line_dedup, op6_sharding, op8_token_output, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_quality_classifier, op5_line_dedup, op6_sharding, op7_neighbours, op8_token_output, op9_quality_rules)}
 
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}

@@ -15,6 +15,7 @@ range of ids is unpacked from its own blocks only, in numpy.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -152,39 +153,94 @@ class TokenReader:
 # -- encoding ----------------------------------------------------------------------------------
 
 
+def _byte_symbols() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Exact ids of a tokenizer that treats white-space-separated words independently; each distinct word is encoded once.
+    """Exact ids of the word tokenizer, each distinct word encoded once by the library.
 
-    Holds for tokenizers that drop white space before their merges (the vocabulary's own pre-tokenizer is the judge: `whole` encodes without it).
+    The tokenizer drops white space and splits before it merges, so that a text's ids are those of its words in a row; words
+    are cut at ASCII white space only. Words of Latin letters, with or without a tail of ASCII punctuation, are at once the
+    pre-tokens of the library's own rules: its merge model gets them directly, lower-cased. All other words pass through its
+    whole chain (normaliser, pre-tokenizer, special tokens).
     """
 
-    MOST = 1 << 18
+    #: Words, and bytes of words, remembered at most; then the memory starts anew.
+    MOST, MOST_BYTES = 1 << 20, 1 << 25
+    #: Letters that lower-case one to one and are in composed form, then punctuation without letters or digits.
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+
+    TAIL = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
+        self.symbols = _byte_symbols()
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.parts: dict[str, list[int]] = {"": []}
         self.flat = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
+    def _words(self, text: str) -> list[bytes]:
+        """The words of a text. Where that can't change an id (all characters are Latin-1, so none combine, and no special
+        token is near), A-Z is lower-cased and a tail of stops and commas is cut off, so that fewer words are distinct."""
+        raw = text.encode("utf-8", "surrogatepass")
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return self.TAIL.sub(rb" \1", raw.lower()).split()
+            except UnicodeEncodeError:
+                pass
+        return raw.split()
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        fresh: list[int] = []
+        lens = np.empty(len(new), np.int64)
+        texts = [w.decode("utf-8", "surrogatepass") for w in new]
+        plain = [self.PLAIN.fullmatch(t) for t in texts]
+        odd = [t for t, m in zip(texts, plain) if m is None]
+        whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else [])
+        for i, m in enumerate(plain):
+            ids = next(whole) if m is None else self._part(m[1].lower()) + self._part(m[2])
+            fresh += ids
+            lens[i] = len(ids)
+        base = len(self.known)
+        self.flat = np.concatenate([self.flat, np.array(fresh, np.uint32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
+        self.known.update(zip(new, range(base, base + len(new))))
+        self.held += sum(map(len, new))
+        self.parts = {"": []}
+
     def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
-        lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > self.MOST:
+        """The ids of each text in order, with `end` at the end. Null counts as empty."""
+        if len(self.known) > self.MOST or self.held > self.MOST_BYTES:
             self._clear()
-        new = list(dict.fromkeys(w for ws in lists for w in ws if w not in self.known))
+        lists = [self._words(t or "") for t in texts]
+        find = self.known.get
+        found = [list(map(find, ws)) for ws in lists]
+        new = dict.fromkeys(w for ws, ks in zip(lists, found) if None in ks for w, k in zip(ws, ks) if k is None)
         if new:
-            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, *got])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new))))
-        for ws in lists:
-            k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+            self._learn(list(new))
+        for ws, ks in zip(lists, found):
+            k = np.array(list(map(find, ws)) if None in ks else ks, np.int64)
             lens = self.at[k + 1] - self.at[k]
             stop = np.cumsum(lens)
             out = np.empty((int(stop[-1]) if len(stop) else 0) + 1, np.uint32)
@@ -194,6 +250,7 @@ class WordEncoder:
             yield out
 
     def whole(self, text: str | None) -> list[int]:
+        """The library's ids of a whole text, to test against."""
         return self.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 

@@ -1 +1 @@
-
+"""Operators over flows and tables."""

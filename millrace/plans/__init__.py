@@ -1,4 +1,5 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

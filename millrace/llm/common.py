@@ -1,15 +1,17 @@
-"""What the corpus operators share: word rules, scratch tables, batched text hashing."""
+"""What the corpus operators share: word rules and batched text hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import hinted, scratch_path, stored
+
+__all__ = ["CHUNK", "LOWER", "SPACE", "WORD", "cut_text", "hash_spans", "hinted", "mix64", "scratch_path", "shingle_hashes", "stored", "word_hashes", "word_spans", "words"]
+
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,41 +22,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def hinted(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
-    """Broadcast df only where its counted rows are within `most`; beyond, a shuffled join (with adaptive skew handling) is left to Spark."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
-
-
 # -- vectorised hashing of words over UTF-8 bytes ----------------------------------------------
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: list[np.ndarray] = []
 #: Bytes hashed at once; longer texts are cut at white space and their word hashes joined.
@@ -90,7 +63,8 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: differences of a prefix polynomial, shifted back to power 0, then mixed."""
     power, back = _powers(len(buf) + 1)
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
@@ -99,7 +73,7 @@ def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _pieces(raw: bytes) -> Iterator[bytes]:
+def cut_text(raw: bytes) -> Iterator[bytes]:
     """Cut a long text at white space into pieces of about CHUNK bytes, words whole."""
     at = 0
     while len(raw) - at > CHUNK:
@@ -124,9 +98,9 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> Iterator[tuple[i
     def flush() -> Iterator[tuple[int, np.ndarray]]:
         buf = np.frombuffer(b" ".join(raw for _, raw in group), np.uint8)
         if lower:
-            buf = _LOWER[buf]
+            buf = LOWER[buf]
         starts, ends = word_spans(buf)
-        hashes = _hash_words(buf, starts, ends)
+        hashes = hash_spans(buf, starts, ends)
         offsets = np.cumsum([0] + [len(raw) + 1 for _, raw in group])
         cuts = np.searchsorted(starts, offsets)
         for (i, _), a, b in zip(group, cuts[:-1], cuts[1:]):
@@ -139,11 +113,11 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> Iterator[tuple[i
                 yield from flush()
                 group, held = [], 0
             parts = []
-            for piece in _pieces(raw):
+            for piece in cut_text(raw):
                 buf = np.frombuffer(piece, np.uint8)
-                buf = _LOWER[buf] if lower else buf
+                buf = LOWER[buf] if lower else buf
                 starts, ends = word_spans(buf)
-                parts.append(_hash_words(buf, starts, ends))
+                parts.append(hash_spans(buf, starts, ends))
             yield i, np.concatenate(parts)
             continue
         group.append((i, raw))

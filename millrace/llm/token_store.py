@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path
+from .common import CHUNK, LOWER, cut_text, hash_spans, scratch_path, word_spans
 
 MAGIC = b"MRTOK001"
 BLOCK = 8192
@@ -160,13 +160,55 @@ def _byte_symbols() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(rest)}
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type, room: int = 1 << 16):
+        self.data, self.n = np.empty(room, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(self.n + len(values), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class _Known:
+    """Slots of 64-bit keys: a large sorted run, and a small one that is merged in now and then."""
+
+    def __init__(self) -> None:
+        self.runs = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * 2
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        for have, slots in self.runs:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                out = np.where(have[at] == keys, slots[at], out)
+        return out
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        large, small = self.runs
+        small = tuple(np.concatenate(x) for x in zip(small, (keys, slots)))
+        if len(small[0]) > 1 << 16:
+            large, small = tuple(np.concatenate(x) for x in zip(large, small)), (np.empty(0, np.uint64), np.empty(0, np.int64))
+            large = self._sorted(large)
+        self.runs = [large, self._sorted(small)]
+
+    @staticmethod
+    def _sorted(run: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        order = np.argsort(run[0])
+        return run[0][order], run[1][order]
+
+
 class WordEncoder:
     """Exact ids of the word tokenizer, each distinct word encoded once by the library.
 
     The tokenizer drops white space and splits before it merges, so that a text's ids are those of its words in a row; words
-    are cut at ASCII white space only. Words of Latin letters, with or without a tail of ASCII punctuation, are at once the
-    pre-tokens of the library's own rules: its merge model gets them directly, lower-cased. All other words pass through its
-    whole chain (normaliser, pre-tokenizer, special tokens).
+    are cut at ASCII white space only, found and told apart in numpy (by 64-bit hashes). Words of Latin letters, with or without a tail
+    of ASCII punctuation, are at once the pre-tokens of the library's own rules: its merge model gets them directly,
+    lower-cased. All other words pass through its whole chain (normaliser, pre-tokenizer, special tokens).
     """
 
     #: Words, and bytes of words, remembered at most; then the memory starts anew.
@@ -174,8 +216,6 @@ class WordEncoder:
     #: Letters that lower-case one to one and are in composed form, then punctuation without letters or digits.
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
-    TAIL = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -186,74 +226,106 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.held = 0
-        self.parts: dict[str, list[int]] = {"": []}
-        self.flat = np.empty(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def _words(self, text: str) -> list[bytes]:
-        """The words of a text. Where that can't change an id (all characters are Latin-1, so none combine, and no special
-        token is near), A-Z is lower-cased and a tail of stops and commas is cut off, so that fewer words are distinct."""
-        raw = text.encode("utf-8", "surrogatepass")
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                return self.TAIL.sub(rb" \1", raw.lower()).split()
-            except UnicodeEncodeError:
-                pass
-        return raw.split()
+        self.known, self.held, self.words = _Known(), 0, 0
+        self.flat, self.at = _Growing(np.uint32), _Growing(np.int64)
+        self.at.extend(np.zeros(1, np.int64))
 
     def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            text = part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
-        return ids
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.model.tokenize(text)]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Remember words; returns their slots."""
         fresh: list[int] = []
         lens = np.empty(len(new), np.int64)
         texts = [w.decode("utf-8", "surrogatepass") for w in new]
         plain = [self.PLAIN.fullmatch(t) for t in texts]
         odd = [t for t, m in zip(texts, plain) if m is None]
         whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)] if odd else [])
+        tails: dict[str, list[int]] = {"": []}
         for i, m in enumerate(plain):
-            ids = next(whole) if m is None else self._part(m[1].lower()) + self._part(m[2])
+            if m is None:
+                ids = next(whole)
+            else:
+                letters, tail = m.groups()
+                if tail not in tails:
+                    tails[tail] = self._part(tail)
+                ids = self._part(letters.lower()) + tails[tail]
             fresh += ids
             lens[i] = len(ids)
-        base = len(self.known)
-        self.flat = np.concatenate([self.flat, np.array(fresh, np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
-        self.known.update(zip(new, range(base, base + len(new))))
+        slots = np.arange(self.words, self.words + len(new))
+        self.words += len(new)
         self.held += sum(map(len, new))
-        self.parts = {"": []}
+        self.at.extend(self.flat.n + np.cumsum(lens))
+        self.flat.extend(np.array(fresh, np.uint32))
+        return slots
 
-    def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
-        """The ids of each text in order, with `end` at the end. Null counts as empty."""
-        if len(self.known) > self.MOST or self.held > self.MOST_BYTES:
+    def _encode(self, raws: list[bytes], easy: list[bool]) -> list[np.ndarray]:
+        """Ids of texts whose words fit a buffer."""
+        if self.words > self.MOST or self.held > self.MOST_BYTES:
             self._clear()
-        lists = [self._words(t or "") for t in texts]
-        find = self.known.get
-        found = [list(map(find, ws)) for ws in lists]
-        new = dict.fromkeys(w for ws, ks in zip(lists, found) if None in ks for w, k in zip(ws, ks) if k is None)
-        if new:
-            self._learn(list(new))
-        for ws, ks in zip(lists, found):
-            k = np.array(list(map(find, ws)) if None in ks else ks, np.int64)
-            lens = self.at[k + 1] - self.at[k]
-            stop = np.cumsum(lens)
-            out = np.empty((int(stop[-1]) if len(stop) else 0) + 1, np.uint32)
-            out[-1] = end
-            if len(stop):
-                out[:-1] = self.flat[np.repeat(self.at[k] - (stop - lens), lens) + np.arange(stop[-1])]
-            yield out
+        sizes = np.array([len(r) + 1 for r in raws])
+        offsets = np.append(0, np.cumsum(sizes))
+        buf = np.frombuffer(b" ".join(raws), np.uint8)
+        lower = LOWER[buf]
+        if not all(easy):
+            lower = np.where(np.repeat(easy, sizes)[: len(buf)], lower, buf)
+        starts, ends = word_spans(lower)
+        # a stop or comma at the end of a word of letters is a pre-token of its own: cut it off, so that fewer words are distinct
+        last, before = lower[ends - 1], lower[np.maximum(ends - 2, 0)]
+        tail = np.flatnonzero(((last == 44) | (last == 46)) & (ends - starts > 1) & (before >= 97) & (before <= 122))
+        if len(tail):
+            cut = ends[tail] - 1
+            starts, ends = np.insert(starts, tail + 1, cut), np.insert(ends, tail, cut)
+        hashes = hash_spans(lower, starts, ends)
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        slots = self.known.find(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            whole = lower.tobytes()
+            slots[new] = self._learn([whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self.known.add(distinct[new], slots[new])
+        k = slots[back]
+        lens = self.at.data[k + 1] - self.at.data[k]
+        stop = np.append(0, np.cumsum(lens))
+        ids = self.flat.data[np.repeat(self.at.data[k] - stop[:-1], lens) + np.arange(stop[-1])]
+        cuts = stop[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
+        """The ids of each text in order, with `end` at the end. Null counts as empty; a long text goes through in pieces."""
+        close = np.array([end], np.uint32)
+        parts: list[tuple[bytes, bool, bool]] = []  # a piece, whether it may be lower-cased, the last of its text
+        held, rest = 0, []
+
+        def flush() -> Iterator[np.ndarray]:
+            for ids, (_, _, last) in zip(self._encode([p for p, _, _ in parts], [e for _, e, _ in parts]), parts):
+                rest.append(ids)
+                if last:
+                    yield np.concatenate([*rest, close])
+                    rest.clear()
+
+        for text in texts:
+            text = text or ""
+            raw = text.encode("utf-8", "surrogatepass")
+            # A-Z may be lower-cased before anything else where no character combines (all are Latin-1) and no special token is near
+            easy = "<|" not in text and not OTHER.search(text)
+            pieces = list(cut_text(raw))
+            for i, piece in enumerate(pieces):
+                parts.append((piece, easy, i == len(pieces) - 1))
+                held += len(piece) + 1
+                if held >= CHUNK:
+                    yield from flush()
+                    parts, held = [], 0
+        if parts:
+            yield from flush()
 
     def whole(self, text: str | None) -> list[int]:
         """The library's ids of a whole text, to test against."""
         return self.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+OTHER = re.compile("[^\x00-\xff]")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

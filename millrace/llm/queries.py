@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup, neighbours, quality_model, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_store
+from . import line_dedup, mixing, near_dedup, neighbours, oracles, quality_model, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,4 +59,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_quality_classifier, op4_near_dedup, op5_line_dedup, op6_sharding, op7_neighbours, op8_token_output, op9_quality_rules, op10_substring_dedup)}
 
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = oracles.SQL

@@ -51,7 +51,9 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.drop("_h").withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_s")
     at = F.col("_at")
     covered = F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    # the id makes the column opaque to the optimiser: a filter on it, pushed down, would sort the windows anew for every element
+    opaque = F.when(F.monotonically_increasing_id() >= 0, covered)
+    df = df.withColumn("n_repeat_words", F.coalesce(opaque, F.lit(0)).cast("long")).drop("_at")
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

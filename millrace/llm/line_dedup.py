@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hinted, stored, words
+from .common import SPACE, WORD, hinted, stored, words
 
 #: Leading tokens that pick a leaf.
 DEPTH = 3
@@ -23,35 +23,40 @@ LEAST_TOKENS = 4
 LEAST_SURROUNDINGS = 5
 #: Distinct surroundings for each ten distinct texts, at least.
 TENTHS = 3
-#: Rows up to which leaves, constants, or marked texts are broadcast.
+#: Rows up to which leaves or templates are broadcast.
 MOST_BROADCAST = 50_000
 FIELD = "<*>"
 
 
-def _has_word(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
+_S, _W = SPACE[:-1], WORD[:-1]
+#: The leading tokens of a line, with what is between them.
+_LEAD = f"^{_S}*+({_W}++(?:{_S}++{_W}++){{0,{DEPTH - 1}}}+)"
 
 
 def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
-def _leaf(line: Column) -> Column:
-    """Token count and leading tokens, as text."""
-    lead = F.split(F.regexp_replace(line, f"^{SPACE}", ""), SPACE, DEPTH + 1)
-    count = F.size(F.split(F.regexp_replace(line, f"^{SPACE}|{SPACE}$", ""), SPACE))
-    return F.concat_ws(" ", count.cast("string"), F.transform(F.filter(F.slice(lead, 1, DEPTH), lambda t: t != ""), _masked))
+def _leaf(line: Column, count: Column) -> Column:
+    """A hash of the token count and the leading tokens."""
+    lead = F.split(F.regexp_extract(line, _LEAD, 1), SPACE)
+    return F.xxhash64(count, F.array_join(F.transform(lead, _masked), " "))
 
 
 def _lines(docs: DataFrame, text_col: str, with_line: bool) -> DataFrame:
-    """One row for each line with a word: text hash, place in the text, leaf and surroundings (as hashes), and the line if asked for."""
-    split = docs.select(F.xxhash64(text_col).alias("text_key"), F.split(text_col, "\n").alias("_l")).filter(F.col("_l").isNotNull())
-    kept = split.select("text_key", F.filter(F.transform("_l", lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: _has_word(x["line"])).alias("_l"))
-    leafed = kept.withColumn("_k", F.transform("_l", lambda x: F.xxhash64(_leaf(x["line"]))))
+    """One row for each line of LEAST_TOKENS or more: text hash, place in the text, leaf and surroundings (as hashes), and the line if asked for.
+
+    Surroundings are the leaves of the lines with a word before and after.
+    """
+    text = F.col(text_col)
+    split = docs.filter(text.isNotNull()).select(F.xxhash64(text).alias("text_key"), F.split(text, "\n").alias("_l"))
+    counted = split.select("text_key", F.filter(F.transform("_l", lambda x, i: F.struct(x.alias("line"), i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0).alias("_l"))
+    leafed = counted.withColumn("_k", F.transform("_l", lambda x: _leaf(x["line"], x["n"])))
     k = F.col("_k")
     around = lambda i: F.xxhash64(F.get(k, i - 1), F.get(k, i + 1))
-    parts = lambda x, i: [x["at"].alias("at"), F.get(k, i).alias("leaf"), around(i).alias("around")] + ([x["line"].alias("line")] if with_line else [])
-    return leafed.select("text_key", F.explode(F.transform("_l", lambda x, i: F.struct(*parts(x, i)))).alias("x")).select("text_key", "x.*")
+    parts = lambda x, i: [x["at"].alias("at"), x["n"].alias("n"), F.get(k, i).alias("leaf"), around(i).alias("around")] + ([x["line"].alias("line")] if with_line else [])
+    each = F.filter(F.transform("_l", lambda x, i: F.struct(*parts(x, i))), lambda x: x["n"] >= LEAST_TOKENS)
+    return leafed.select("text_key", F.explode(each).alias("x")).select("text_key", "x.*").drop("n")
 
 
 def _recurs(keys: list[str]) -> list[Column]:
@@ -70,7 +75,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     leaves = _lines(docs, text_col, False).groupBy("leaf").agg(*_recurs(["leaf"])).filter(_ENOUGH).select("leaf")
     leaves = stored(leaves, "leaves")
     near = _lines(docs, text_col, True).join(hinted(leaves, MOST_BROADCAST), "leaf").distinct()
-    near = near.withColumn("tokens", F.transform(words(F.col("line")), _masked)).filter(F.size("tokens") >= LEAST_TOKENS).drop("line")
+    near = near.withColumn("tokens", F.transform(words(F.col("line")), _masked)).drop("line")
     near = stored(near, "lines")
     # tokens that recur at their place of a leaf; lines of equal leaf and surroundings count once
     spread = near.groupBy("leaf", "around", "tokens").count().select("leaf", "around", F.posexplode("tokens").alias("place", "token"))
@@ -88,11 +93,12 @@ def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Every row stays, also one that loses all lines; a null text stays null. Lines without a word are kept as they are.
     """
+    # as many texts may be marked as there are: always a merge join, whose skewed keys (copies) Spark splits
     marks = stored(recurring_lines(docs, text_col), "marks").withColumnRenamed("text_key", "_key")
-    marked = docs.withColumn("_key", F.xxhash64(text_col)).join(hinted(marks, MOST_BROADCAST), "_key", "left").drop("_key")
+    marked = docs.withColumn("_key", F.xxhash64(text_col)).join(marks.hint("merge"), "_key", "left").drop("_key")
     lines = F.split(text_col, "\n")
     short = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    done = marked.withColumns({"_n_lines": F.coalesce(F.size(F.filter(lines, _has_word)), F.lit(0)), "_n_dropped": F.coalesce(F.size("dropped"), F.lit(0)), "_short": F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(short)})
+    done = marked.withColumns({"_n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)), "_n_dropped": F.coalesce(F.size("dropped"), F.lit(0)), "_short": F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(short)})
     return done.withColumn(text_col, F.col("_short")).drop("_short", "dropped")
 
 
@@ -113,7 +119,7 @@ raw as (select text, unnest(string_split(text, chr(10))) as line, generate_subsc
 lines as (select *, {_sql_leaf('line')} as leaf, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '{FIELD}' else t end) as tokens
           from raw where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 placed as (select *, coalesce(lag(leaf) over (partition by text order by spot), '') || chr(10) || coalesce(lead(leaf) over (partition by text order by spot), '') as around from lines),
-leaves as (select leaf from placed group by leaf having count(distinct around) >= {LEAST_SURROUNDINGS} and 10 * count(distinct around) >= {TENTHS} * count(distinct text)),
+leaves as (select leaf from placed where len(tokens) >= {LEAST_TOKENS} group by leaf having count(distinct around) >= {LEAST_SURROUNDINGS} and 10 * count(distinct around) >= {TENTHS} * count(distinct text)),
 near as (select * from placed where leaf in (select leaf from leaves) and len(tokens) >= {LEAST_TOKENS}),
 spread as (select leaf, around, unnest(tokens) as token, generate_subscripts(tokens, 1) as place from near),
 constant as (select leaf, place, token from spread where token <> '{FIELD}' group by all having count(distinct around) >= {LEAST_SURROUNDINGS}),

@@ -23,9 +23,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Compressed with zstd, whose buffers are freed with each file; snappy's wait outside the heap for a garbage collection.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

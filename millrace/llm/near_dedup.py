@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import hinted, mix64, shingle_hashes, stored, word_hashes
 
 #: Words of a shingle; retained hashes; shared retained values that a link needs at least.
@@ -197,38 +198,6 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(made.distinct(), "links")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component, of all nodes with an edge (a, b). No component gathers in one task.
-
-    Rounds: every node takes the least label among its own and its neighbours', labels are followed once (pointer jumping), and the edges
-    are contracted to those between different labels, until none is left.
-    """
-    labels = None
-    edges = edges.select("a", "b").filter("a <> b")
-    while True:
-        edges = stored(edges, "edges")
-        if edges.isEmpty():
-            break
-        two = edges.union(edges.select("b", "a"))
-        least = two.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-        least = stored(least, "least")
-        while True:  # follow to the root: labels fall along each chain, so this ends
-            up = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = stored(least.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved")), "jumped")
-            least = jumped.select("node", "root")
-            if jumped.filter("moved").isEmpty():
-                break
-        if labels is None:
-            labels = least
-        else:
-            up = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        labels = stored(labels, "labels")
-        a = edges.join(least.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(least.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        edges = a.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def _named(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text_key, n_shingles, and component_id."""
     rows = stored(sketched(docs), "sketches")

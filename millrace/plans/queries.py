@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..flow import Flow, begin, chunk_if, middle, parallel
-from ..operators import aggregate, combine, containers, geometry, graph, index, mapping, matrix, ordering, permute, spatial
+from ..operators import aggregate, combine, containers, geometry, graph, index, mapping, matrix, ordering, permute, scan, spatial
 from ..operators.ranges import positioned
 from ..sources import range_source, to_vector
 from ..sources.readers import linked_list
@@ -240,6 +240,19 @@ def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).exceptAll(_t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
+@query("with a as (select c_custkey x, row_number() over (order by c_custkey) rn from customer), b as (select p_partkey y, row_number() over (order by p_partkey) rn from part), c as (select o_orderkey z, row_number() over (order by o_orderkey) rn from orders) select (rn - 1)::bigint as pos, (x + y + z)::bigint as s from a join b using (rn) join c using (rn)")
+def nary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [("customer", "c_custkey", "x"), ("part", "p_partkey", "y"), ("orders", "o_orderkey", "z")]
+    flows = [Flow(_t(spark, sf_dir, t).select(F.col(c).alias(n)), (n,)) for t, c, n in keys]
+    return scan.scan(flows, s=F.col("x") + F.col("y") + F.col("z")).df
+
+
+@query("select c_custkey as k, ((row_number() over (order by c_custkey) - 1) * 3)::bigint as pos from customer union all select s_suppkey, ((row_number() over (order by s_suppkey) - 1) * 3 + 1)::bigint from supplier union all select n_nationkey, ((row_number() over (order by n_nationkey) - 1) * 3 + 2)::bigint from nation")
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [("customer", "c_custkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey")]
+    return scan.interleave([Flow(_t(spark, sf_dir, t).select(F.col(c).cast("long").alias("k")), ("k",)) for t, c in keys]).df.select("k", "pos")
+
+
 # -- runs, distinct items, groups --------------------------------------------------------------
 
 _RUNS = f"with a as (select l_returnflag f, row_number() over (order by {_BY}) - 1 pos from lineitem), b as (select *, case when pos > 0 and lag(f) over (order by pos) is not distinct from f then 0 else 1 end n from a) "
@@ -279,6 +292,13 @@ def subpipeline_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.ranked_within(["l_orderkey"], order)(flow).df.select("l_orderkey", "l_partkey", F.col("nth").cast("long").alias("nth"))
 
 
+@query(_RUNS + ", g as (select *, sum(n) over (order by pos) run from b) select run::bigint as run, f, max(pos)::bigint as last from g group by 1, 2")
+def consecutive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold within each run of equal flags."""
+    flow = scan.consecutive_groups(["f"], "run")(positioned(_flags(spark, sf_dir)))
+    return flow.df.groupBy("run", "f").agg(F.max("pos").alias("last"))
+
+
 @query("select user_id, max(value) - min(value) as spread from events group by user_id")
 def user_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     def inner(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -370,6 +390,19 @@ def augmented_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.union(*[Flow(df.select(F.lit(i).cast("long").alias("level"), "node", "min_key", "count", "total")) for i, df in enumerate(levels)]).df
 
 
+@query("select o_orderkey, o_custkey from orders where o_orderkey between 50 and 900")
+def layered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = index_by_batches(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return layers.index().range(50, 900)
+
+
+def index_by_batches(df: DataFrame) -> scan.LayeredIndex:
+    layers = scan.LayeredIndex("o_orderkey")
+    for i in range(4):
+        layers.insert(df.filter(F.pmod("o_custkey", F.lit(4)) == i))
+    return layers
+
+
 # -- containers and graphs ---------------------------------------------------------------------
 
 _PUSH = "event_id % 3 <> 0"

@@ -230,3 +230,33 @@ def test_text_sources(spark, tmp_path):
     assert [tuple(r) for r in rectangles_text(spark, f"file://{tmp_path}/rects").orderBy("id").collect()] == [(7, 1.0, 2.0, 4.0, 5.0), (8, 0.0, 0.0, 1.0, 1.0)]
     (tmp_path / "points").write_text("1 2\n3 4\n")
     assert points_text(spark, f"file://{tmp_path}/points").count() == 2
+
+
+def test_scans(spark):
+    from millrace.operators import scan
+
+    flows = [Flow(spark.range(n).select((F.col("id") * k).alias(c)), (c,)) for n, k, c in ((5, 1, "a"), (6, 10, "b"), (7, 100, "c"))]
+    got = scan.scan(flows, s=F.col("a") + F.col("b") + F.col("c")).df
+    assert {r.pos: r.s for r in got.collect()} == {i: 111 * i for i in range(5)}
+    same = [Flow(f.df.toDF("v"), ("v",)) for f in flows]
+    assert [r.v for r in scan.interleave(same[:2]).df.orderBy("pos").limit(6).collect()] == [0, 0, 1, 10, 2, 20]
+
+    def step(pdf):
+        return pdf[pdf["input"] == 1].assign(seen=(pdf["input"] == 0).cumsum())[["g", "t", "seen"]]
+
+    left = Flow(spark.createDataFrame([(1, t) for t in (1, 4, 6)], "g int, t int"))
+    right = Flow(spark.createDataFrame([(1, t) for t in (0, 5, 9)], "g int, t int"))
+    out = scan.scan_by([left, right], "g", ["t"], step, "g int, t int, seen long")
+    assert sorted((r.t, r.seen) for r in out.collect()) == [(0, 0), (5, 2), (9, 3)]
+
+
+def test_layers(spark):
+    from millrace.operators.scan import LayeredIndex
+
+    layers = LayeredIndex("v", factor=2)
+    for i in range(12):
+        layers.insert(spark.range(i * 10, i * 10 + 10).withColumnRenamed("id", "v"))
+    assert len(layers.layers) <= 4 and layers.index().df.count() == 120
+    assert layers.index().lower_bound(55).collect()[0].v == 55
+    with pytest.raises(ValueError):
+        LayeredIndex("v").index()

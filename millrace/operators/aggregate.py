@@ -9,17 +9,16 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..flow import Flow, Pipe, middle
-from .ranges import PART, Ranges, positioned
+from .ranges import Ranges, positioned
 
 
 def _runs(flow: Flow, columns: list[str]) -> Ranges:
     """The flow by ranges, with __new where an item differs from the one before (nulls are equal)."""
-    r = Ranges(flow)
-    near = r.neighbour(columns, -1)
+    r = Ranges(flow).neighbour(columns, -1)
     same = F.lit(True)
     for c in columns:
         same &= F.col(c).eqNullSafe(F.col("__near")[c])
-    r.df = near.withColumn("__new", F.when(F.col("__edge"), 1).otherwise((~same).cast("int"))).drop("__near", "__edge")
+    r.df = r.df.withColumn("__new", F.when(F.col("__edge"), 1).otherwise((~same).cast("int"))).drop("__near", "__edge")
     return r
 
 
@@ -28,8 +27,9 @@ def unique(columns: list[str], position: str | None = None) -> Pipe:
 
     def run(flow: Flow) -> Flow:
         r = _runs(flow, columns)
-        df = r.df.withColumn(position, r.position()) if position else r.df
-        return flow.with_df(df.filter("__new = 1").drop("__new", PART))
+        if position:
+            r.position(position)
+        return r.flow_of(r.df.filter("__new = 1").drop("__new"))
 
     return middle(run, "unique")
 
@@ -38,9 +38,8 @@ def count_consecutive(columns: list[str], name: str = "count") -> Pipe:
     """Run lengths: one item a run of equal items, with their number; `run` numbers the runs from 1."""
 
     def run(flow: Flow) -> Flow:
-        r = _runs(flow, columns)
-        df = r.df.withColumn("run", r.running(F.col("__new"), before=False))
-        return flow.with_df(df.groupBy("run", *columns).agg(F.count("*").alias(name)), ("run",))
+        r = _runs(flow, columns).running("run", F.col("__new"), before=False)
+        return flow.with_df(r.df.groupBy("run", *columns).agg(F.count("*").alias(name)), ("run",))
 
     return middle(run, "count_consecutive")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..flow import Flow
 from ..session import partitions
-from .ranges import PART, Ranges
+from .ranges import PART, PLACE, Ranges
 
 
 @dataclass(frozen=True)
@@ -76,14 +76,12 @@ class SortedIndex:
     # aggregates
     def ranks(self, total: Column, *tie: str) -> DataFrame:
         """Each row with rank (rows before it) and prefix (their sum of `total`)."""
-        r = Ranges(Flow(self.df, (self.key, *tie)))
-        return r.df.withColumns({"rank": r.position(), "prefix": r.running(total)}).drop(PART)
+        return Ranges(Flow(self.df, (self.key, *tie))).position("rank").running("prefix", total).df.drop(PART, PLACE)
 
     def levels(self, fanout: int, *aggregates: Column) -> list[DataFrame]:
         """Augmented levels from the leaves up, fanout items a node: (node, min_key, count, aggregates)."""
-        r = Ranges(Flow(self.df, (self.key,)))
-        df = r.df.withColumn("__pos", r.position())
-        out, width, n = [], fanout, r.total()
+        r = Ranges(Flow(self.df, (self.key,))).position("__pos")
+        df, out, width, n = r.df, [], fanout, r.total()
         while True:
             out.append(df.groupBy(F.floor(F.col("__pos") / width).alias("node")).agg(F.min(self.key).alias("min_key"), F.count("*").alias("count"), *aggregates))
             if width >= n:
@@ -115,22 +113,12 @@ def nearest(probes: DataFrame, probe: str, keys: DataFrame, key: str, name: str,
     k = keys.select(*[F.col(b).alias(g) for (_, b), g in zip(by, groups)], F.col(key).alias("__x")).filter("__x is not null").distinct()
     k = k.select(*groups, "__x", F.lit(0 if key_first else 1).alias("__side"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col("__x").alias("__key"))
     both = p.unionByName(k)
-    flip = "" if after else "-"
     order = [F.col(c).desc() if after else F.col(c).asc() for c in ("__x", "__side")]
     if by:
         w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         done = both.withColumn("__hit", F.last("__key", ignorenulls=True).over(w))
     else:
-        turned = tuple(f"-{c}" if flip == "" else c for c in ("__x", "__side"))
-        r = Ranges(Flow(both.withColumn("__tie", F.monotonically_increasing_id()), (*turned, "__tie")))
-        ends = {x[0]: x[1] for x in r.df.groupBy(PART).agg((F.min if after else F.max)("__key")).collect()}
-        carry, last = [], None
-        for part in sorted(ends):
-            carry.append((part, last))
-            last = ends[part] if ends[part] is not None else last
-        kind = keys.schema[key].dataType.simpleString()
-        table = F.broadcast(r.spark.createDataFrame(carry, f"{PART} int, __carry {kind}"))
-        rows = r.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        done = r.df.withColumn("__own", F.last("__key", ignorenulls=True).over(rows)).join(table, PART).withColumn("__hit", F.coalesce("__own", "__carry"))
+        turned = ("-__x", "-__side") if after else ("__x", "__side")
+        done = Ranges(Flow(both, turned)).filled("__hit", "__key", least=after).df
     done = done.filter("__row is not null")
     return done.select("__row.*", F.when(F.col("__x").isNotNull(), F.col("__hit")).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..flow import Flow, Pipe, inverted, middle
 from ..session import stored
-from .ranges import PART, Ranges, positioned
+from .ranges import Ranges, positioned
 
 
 def sort(*order: str) -> Pipe:
@@ -89,8 +89,8 @@ def peek(columns: list[str], name: str = "next") -> Pipe:
     """Each item with a struct of the next one's columns; null for the last."""
 
     def run(flow: Flow) -> Flow:
-        r = Ranges(flow)
-        return flow.with_df(r.neighbour(columns, 1).withColumnRenamed("__near", name).drop("__edge", PART))
+        r = Ranges(flow).neighbour(columns, 1)
+        return r.flow_of(r.df.withColumnRenamed("__near", name).drop("__edge"))
 
     return middle(run, "peek")
 

@@ -1,8 +1,8 @@
 """Positions, neighbours and running sums of a flow without gathering it in one task.
 
 A global window plans a single partition. Instead the flow is sorted into ranges of its order, written once (so that the ranges
-stay the same), and each range is scanned by a task of its own; what a range needs to know of those before it is one row a
-range, which the driver carries on: counts, sums, the last item.
+stay the same) with each row's place in its range, and each range is scanned by a task of its own; what a range needs to know
+of those before it is one row a range, which the driver carries on: counts, sums, the last item. Positions need no scan at all.
 """
 
 from __future__ import annotations
@@ -15,71 +15,87 @@ from pyspark.sql import functions as F
 from ..flow import Flow
 from ..session import partitions, stored
 
-PART = "__part"
+#: Columns that a flow has while it is in ranges: the range, and the row's place in it.
+PART, PLACE = "__part", "__place"
+_BITS = 33  # of monotonically_increasing_id() that count rows within a partition
 
 
 class Ranges:
-    """A flow sorted into ranges."""
+    """A flow sorted into ranges. Methods add a column to `df` and return the ranges."""
 
     def __init__(self, flow: Flow, parts: int | None = None):
         flow.need_order()
         self.flow, self.spark = flow, flow.df.sparkSession
         keys = flow.sort_columns()
         ranged = flow.df.repartitionByRange(parts or partitions(self.spark), *keys).sortWithinPartitions(*keys)
-        self.df = stored(ranged.withColumn(PART, F.spark_partition_id()), "ranges")
-        self.local = Window.partitionBy(PART).orderBy(*keys)
+        numbered = ranged.withColumn(PLACE, F.monotonically_increasing_id())
+        self.df = stored(numbered.withColumns({PART: F.shiftright(PLACE, _BITS).cast("int"), PLACE: F.col(PLACE).bitwiseAND(F.lit((1 << _BITS) - 1))}), "ranges")
+        self.local = Window.partitionBy(PART).orderBy(PLACE)
 
     @cached_property
     def counts(self) -> dict[int, int]:
-        return {r[0]: r[1] for r in self.df.groupBy(PART).agg(F.count("*")).collect()}
-
-    def _carried(self, table: dict[int, object]) -> Column:
-        """A column with the value of each row's range; missing ranges have null."""
-        table = {k: v for k, v in table.items() if v is not None}
-        if not table:
-            return F.lit(None)
-        return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(PART)]
+        return {r[0]: r[1] for r in self.df.groupBy(PART).agg(F.max(PLACE) + 1).collect()}
 
     def total(self) -> int:
         return sum(self.counts.values())
 
-    def position(self) -> Column:
+    def flow_of(self, df: DataFrame, *order: str) -> Flow:
+        return self.flow.with_df(df.drop(PART, PLACE), order or None)
+
+    def _carried(self, table: dict[int, object], name: str, kind: str) -> DataFrame:
+        """The rows with a value of their range: a table of a row a range, broadcast."""
+        return self.df.join(F.broadcast(self.spark.createDataFrame(sorted(table.items()), f"{PART} int, {name} {kind}")), PART, "left")
+
+    def position(self, name: str) -> Ranges:
         """Dense positions from 0."""
         start, at = {}, 0
         for k in sorted(self.counts):
             start[k] = at
             at += self.counts[k]
-        return (F.row_number().over(self.local) - 1 + F.coalesce(self._carried(start), F.lit(0))).cast("long")
+        self.df = self._carried(start, "__start", "long").withColumn(name, F.col(PLACE) + F.col("__start")).drop("__start")
+        return self
 
-    def running(self, value: Column, before: bool = True) -> Column:
+    def running(self, name: str, value: Column, before: bool = True) -> Ranges:
         """Sum of the values up to each item, the item's own left out if `before`; 0 where there is none."""
-        sums = {r[0]: r[1] for r in self.df.groupBy(PART).agg(F.sum(value)).collect()}
-        start, at = {}, 0
-        for k in sorted(sums):
+        sums = self.df.groupBy(PART).agg(F.sum(value).alias("s"))
+        kind = dict(sums.dtypes)["s"]
+        start, at = {}, None
+        for k, v in sorted((r[0], r[1]) for r in sums.collect()):
             start[k] = at
-            at += sums[k] or 0
+            at = v if at is None else at if v is None else at + v
         rows = self.local.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
-        return F.coalesce(F.sum(value).over(rows), F.lit(0)) + F.coalesce(self._carried(start), F.lit(0))
+        zero = F.lit(0).cast(kind)
+        self.df = self._carried(start, "__start", kind).withColumn(name, F.coalesce(F.sum(value).over(rows), zero) + F.coalesce("__start", zero)).drop("__start")
+        return self
 
-    def neighbour(self, columns: list[str], step: int = -1) -> DataFrame:
-        """The rows with `__near` (a struct of the columns of the item before, or after for step 1) and `__edge` (true where there is none)."""
+    def neighbour(self, columns: list[str], step: int = -1) -> Ranges:
+        """Add `__near` (a struct of the columns of the item before, or after for step 1) and `__edge` (true where there is none)."""
         item = F.struct(*columns)
         pick = F.max_by if step < 0 else F.min_by
-        at = self.df.withColumn("__n", F.row_number().over(self.local))
-        ends = {r[0]: r[1] for r in at.groupBy(PART).agg(pick(item, "__n")).collect()}
+        ends = {r[0]: r[1] for r in self.df.groupBy(PART).agg(pick(item, PLACE)).collect()}
         keys = sorted(ends)
-        near = [(k, ends[j]) for j, k in zip(keys, keys[1:])] if step < 0 else [(k, ends[j]) for k, j in zip(keys, keys[1:])]
-        schema = f"{PART} int, __over {item_type(self.df, columns)}"
-        table = F.broadcast(self.spark.createDataFrame(near, schema))
+        near = {k: ends[j] for j, k in zip(keys, keys[1:])} if step < 0 else {k: ends[j] for k, j in zip(keys, keys[1:])}
         inner = (F.lag if step < 0 else F.lead)(item).over(self.local)
-        return self.df.withColumn("__in", inner).join(table, PART, "left").withColumn("__near", F.coalesce("__in", "__over")).withColumn("__edge", F.col("__near").isNull()).drop("__in", "__over")
-
-
-def item_type(df: DataFrame, columns: list[str]) -> str:
-    return df.select(F.struct(*columns).alias("x")).schema["x"].dataType.simpleString()
+        kind = self.df.select(item.alias("x")).schema["x"].dataType.simpleString()
+        df = self._carried(near, "__over", kind).withColumn("__in", inner)
+        self.df = df.withColumn("__near", F.coalesce("__in", "__over")).withColumn("__edge", F.col("__near").isNull()).drop("__in", "__over")
+        return self
+
+    def filled(self, name: str, column: str, least: bool) -> Ranges:
+        """The column's last value that isn't null, up to each item; the values must fall (least) or rise along the order."""
+        ends = {r[0]: r[1] for r in self.df.groupBy(PART).agg((F.min if least else F.max)(column)).collect()}
+        carry, last = {}, None
+        for k in sorted(ends):
+            carry[k] = last
+            last = last if ends[k] is None else ends[k]
+        rows = self.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        kind = self.df.schema[column].dataType.simpleString()
+        df = self._carried(carry, "__carry", kind).withColumn("__own", F.last(column, ignorenulls=True).over(rows))
+        self.df = df.withColumn(name, F.coalesce("__own", "__carry")).drop("__own", "__carry")
+        return self
 
 
 def positioned(flow: Flow, name: str = "pos", parts: int | None = None) -> Flow:
     """The flow with dense positions from 0, which become its order."""
-    r = Ranges(flow, parts)
-    return flow.with_df(r.df.withColumn(name, r.position()).drop(PART), (name,)).forward("items", r.total())
+    r = Ranges(flow, parts).position(name)
+    return r.flow_of(r.df, name).forward("items", r.total())

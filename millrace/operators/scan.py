@@ -44,9 +44,8 @@ def consecutive_groups(columns: list[str], name: str = "group") -> Pipe:
     """Number the runs of equal items from 1, as groups for a pipeline of their own; groups are consecutive, not all equal items."""
 
     def run(flow: Flow) -> Flow:
-        r = _runs(flow, columns)
-        df = r.df.withColumn(name, r.running(F.col("__new"), before=False)).drop("__new", "__part")
-        return flow.with_df(df, (name, *flow.order))
+        r = _runs(flow, columns).running(name, F.col("__new"), before=False)
+        return r.flow_of(r.df.drop("__new"), name, *flow.order)
 
     return middle(run, "subpipeline groups")
 

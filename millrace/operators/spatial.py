@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..flow import Flow
 from ..functions import hilbert
-from .ranges import PART, Ranges
+from .ranges import PART, PLACE, Ranges
 
 CORNERS = ("xlo", "ylo", "xhi", "yhi")
 
@@ -98,8 +98,8 @@ def pack(rects: DataFrame, id_col: str, fanout: int, side: int = 1 << 15) -> tup
         return rects.withColumns({"hilbert": F.lit(None).cast("long"), "pos": F.lit(None).cast("long"), "node": F.lit(None).cast("long")}), []
     grid = lambda lo, hi, low, high: F.floor(((F.col(lo) + F.col(hi)) / 2 - float(low)) * ((side - 1) / max(float(high) - float(low), 1e-300)))
     df = rects.withColumn("hilbert", hilbert(grid("xlo", "xhi", b.xlo, b.xhi), grid("ylo", "yhi", b.ylo, b.yhi), side))
-    r = Ranges(Flow(df, ("hilbert", id_col)))
-    leaves = r.df.withColumn("pos", r.position()).withColumn("node", F.floor(F.col("pos") / fanout)).drop(PART)
+    r = Ranges(Flow(df, ("hilbert", id_col))).position("pos")
+    leaves = r.df.withColumn("node", F.floor(F.col("pos") / fanout)).drop(PART, PLACE)
     levels, level, n = [], leaves, r.total()
     while True:
         level = level.groupBy("node").agg(F.count("*").alias("count"), F.min("xlo").alias("xlo"), F.min("ylo").alias("ylo"), F.max("xhi").alias("xhi"), F.max("yhi").alias("yhi"))

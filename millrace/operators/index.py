@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..flow import Flow
@@ -100,25 +100,21 @@ class SortedIndex:
 def nearest(probes: DataFrame, probe: str, keys: DataFrame, key: str, name: str, after: bool, strict: bool = False, by: list[tuple[str, str]] | None = None) -> DataFrame:
     """As-of join: each probe row with the nearest key after (or before) it, equal keys included unless strict; null where there is none.
 
-    Probes and distinct keys are sorted together once, and the next key of each probe is a window's. With `by` (pairs of probe and
-    key columns) the windows are those of the groups; without, ranges of the order are scanned by tasks of their own and the next key is
-    carried over from range to range.
+    With `by` (pairs of probe and key columns, nulls being equal) only keys of the probe's group count. Probes and distinct keys are
+    sorted together once, by group and value; ranges of that order are scanned by tasks of their own and the last key is carried on from
+    range to range, so that a group of any size is spread over its ranges.
     """
     by = by or []
     groups = [f"__g{i}" for i in range(len(by))]
     row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
-    # at equal values: keys count for a probe unless strict
-    key_first = strict == after
-    p = probes.select(*[F.col(a).alias(g) for (a, _), g in zip(by, groups)], F.col(probe).alias("__x"), F.lit(1 if key_first else 0).alias("__side"), row.alias("__row"), F.lit(None).cast(keys.schema[key].dataType).alias("__key"))
+    # at equal values: keys come before a probe unless strict
+    last = 0 if strict else 1
     k = keys.select(*[F.col(b).alias(g) for (_, b), g in zip(by, groups)], F.col(key).alias("__x")).filter("__x is not null").distinct()
-    k = k.select(*groups, "__x", F.lit(0 if key_first else 1).alias("__side"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col("__x").alias("__key"))
-    both = p.unionByName(k)
-    order = [F.col(c).desc() if after else F.col(c).asc() for c in ("__x", "__side")]
-    if by:
-        w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        done = both.withColumn("__hit", F.last("__key", ignorenulls=True).over(w))
-    else:
-        turned = ("-__x", "-__side") if after else ("__x", "__side")
-        done = Ranges(Flow(both, turned)).filled("__hit", "__key", least=after).df
-    done = done.filter("__row is not null")
-    return done.select("__row.*", F.when(F.col("__x").isNotNull(), F.col("__hit")).alias(name))
+    k = k.select(*groups, "__x", F.lit(1 - last).alias("__side"), F.lit(None).cast(probes.select(row.alias("r")).schema["r"].dataType).alias("__row"), F.struct(*groups, "__x").alias("__key"))
+    p = probes.select(*[F.col(a).alias(g) for (a, _), g in zip(by, groups)], F.col(probe).alias("__x"), F.lit(last).alias("__side"), row.alias("__row"), F.lit(None).cast(k.schema["__key"].dataType).alias("__key"))
+    order = (*groups, "-__x" if after else "__x", "__side")
+    done = Ranges(Flow(p.unionByName(k), order)).filled("__hit", "__key").df.filter("__row is not null")
+    fits = F.col("__x").isNotNull()
+    for g in groups:
+        fits &= F.col(g).eqNullSafe(F.col("__hit")[g])
+    return done.select("__row.*", F.when(fits, F.col("__hit")["__x"]).alias(name))

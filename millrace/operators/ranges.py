@@ -81,13 +81,14 @@ class Ranges:
         self.df = df.withColumn("__near", F.coalesce("__in", "__over")).withColumn("__edge", F.col("__near").isNull()).drop("__in", "__over")
         return self
 
-    def filled(self, name: str, column: str, least: bool) -> Ranges:
-        """The column's last value that isn't null, up to each item; the values must fall (least) or rise along the order."""
-        ends = {r[0]: r[1] for r in self.df.groupBy(PART).agg((F.min if least else F.max)(column)).collect()}
+    def filled(self, name: str, column: str) -> Ranges:
+        """The column's last value that isn't null, up to each item."""
+        some = self.df.filter(F.col(column).isNotNull())
+        ends = {r[0]: r[1] for r in some.groupBy(PART).agg(F.max_by(column, PLACE)).collect()}
         carry, last = {}, None
-        for k in sorted(ends):
+        for k in range(max(self.counts, default=-1) + 1):
             carry[k] = last
-            last = last if ends[k] is None else ends[k]
+            last = ends.get(k, last)
         rows = self.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         kind = self.df.schema[column].dataType.simpleString()
         df = self._carried(carry, "__carry", kind).withColumn("__own", F.last(column, ignorenulls=True).over(rows))

@@ -84,8 +84,7 @@ def test_runs_like_python(spark, xs):
     got = [(r.v, r.n) for r in aggregate.count_consecutive(["v"], "n")(flow).df.orderBy("run").collect()]
     assert got == _runs(xs)
     assert values(aggregate.unique(["v"])(flow)) == [x for x, _ in _runs(xs)]
-    r = Ranges(flow)
-    assert sorted(x.p for x in r.df.select(r.position().alias("p")).collect()) == list(range(len(xs)))
+    assert sorted(x.p for x in Ranges(flow).position("p").df.collect()) == list(range(len(xs)))
 
 
 def test_chunks_pairs_peek(spark):

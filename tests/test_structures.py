@@ -260,3 +260,18 @@ def test_layers(spark):
     assert layers.index().lower_bound(55).collect()[0].v == 55
     with pytest.raises(ValueError):
         LayeredIndex("v").index()
+
+
+def test_asof_within_groups(spark):
+    from millrace.operators.index import nearest
+
+    rng = random.Random(6)
+    keys = [(rng.choice([None, 1, 2, 2, 2]), rng.randrange(60)) for _ in range(80)]
+    probes = [(i, rng.choice([None, 1, 2, 2, 3]), rng.choice([None, *range(60)])) for i in range(120)]
+    k, p = spark.createDataFrame(keys, "h int, y int"), spark.createDataFrame(probes, "i int, g int, x int").repartition(3)
+    for after in (True, False):
+        for strict in (True, False):
+            got = {r.i: r.b for r in nearest(p, "x", k, "y", "b", after, strict, by=[("g", "h")]).collect()}
+            for i, g, x in probes:
+                fit = [] if x is None else [y for h, y in keys if h == g and (y > x if after else y < x) or h == g and not strict and y == x]
+                assert got[i] == (min(fit) if after else max(fit)) if fit else got[i] is None

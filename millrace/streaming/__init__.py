@@ -21,9 +21,10 @@ def through(flow: Flow, pipe: Pipe) -> Flow:
 
 
 def windowed(flow: Flow, time: str, width: str, late: str, keys: list[str], *aggregates: Column, slide: str | None = None) -> DataFrame:
-    """Aggregates of tumbling or sliding windows; items later than the watermark go."""
+    """Aggregates of tumbling or sliding windows; items later than the watermark go. Times without a zone are the session's."""
+    df = flow.df.withColumn(time, F.col(time).cast("timestamp"))
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return flow.df.withWatermark(time, late).groupBy(w, *keys).agg(*aggregates)
+    return df.withWatermark(time, late).groupBy(w, *keys).agg(*aggregates)
 
 
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -89,7 +89,11 @@ def random_ints(spark: SparkSession, n: int, below: int, seed: int = 42) -> Data
     return spark.range(n).select(F.col("id").alias("pos"), F.floor(F.rand(seed) * below).alias("v"))
 
 
-def linked_list(spark: SparkSession, n: int, head: int = 17, step: int = 903584919, bits: int = 30) -> DataFrame:
+# Fixed values of the linked-list generator: head, step and modulus (a power of two).
+LIST_HEAD, LIST_STEP, LIST_BITS = 17, 903584919, 30
+
+
+def linked_list(spark: SparkSession, n: int, head: int = LIST_HEAD, step: int = LIST_STEP, bits: int = LIST_BITS) -> DataFrame:
     """A pseudo-random linked list of n edges of weight 1: the i-th node is (head + i * step) modulo 2**bits."""
     node = lambda i: F.pmod(F.lit(head) + (i * (step % (1 << bits))), F.lit(1 << bits))
     i = F.col("id") % (1 << bits)

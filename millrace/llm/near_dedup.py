@@ -7,11 +7,12 @@ LEAST values, it shares one of the rarest K - LEAST + 1 of either side, and only
 have in common drop out by that. Short lists give their pairs; the union sketch of a pair estimates its similarity and
 drops the hopeless; full sets verify the rest.
 
-A long list is compared only with its pivot, the member with the most common values (of near copies, about the original). That
-loses nothing: members linked to the pivot are connected. Of two others, or one of each, that are linked, either all they
-share lies in the pivot; then the sizes of their intersections with it, which are known, bound their own sizes, and the few
-pairs within the bounds are verified. Or they share a shingle outside the pivot; such shingles make lists anew, with pivots of
-their own, and "outside" is then outside all pivots so far, which shrinks until all lists are short. The work is linear in a
+A long list is compared only with its pivots, the members with the most common values (of near copies, about the original). That
+loses nothing: members linked to one pivot are connected. Of two others that are linked, either all they share lies in
+the pivots' union; then the sizes of their intersections with it, which are known, bound their own sizes, and the few
+pairs within the bounds are verified. Or they share shingles outside the pivots, at least as many as a link needs beyond what
+lies inside; the first of these, in the order of their hashes, make lists anew, with pivots of their own, and "outside" is
+then outside all pivots so far, which shrinks until all lists are short. The work is linear in a
 list's length, never all pairs of a group. Links become components by rounds of least labels.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
@@ -35,6 +36,8 @@ WHOLE = K * 3 // 4
 PERCENT = 75
 #: Lists up to this length give all their pairs (at most 16 a member), longer ones go by pivots.
 SHORT = 32
+#: Members of a long list that all others are compared with.
+PIVOTS = 3
 #: Rows up to which ids of documents to fetch are broadcast.
 MOST_BROADCAST = 200_000
 
@@ -136,9 +139,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, outside: bool = False) -> DataF
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary, inter long, na long, nb long" + ", outside array<long>" * outside)
 
 
-def _pivot() -> Column:
-    """The member whose values are the most common ones."""
-    return F.min(F.struct((-F.col("common")).alias("common"), "n", "sid")).alias("pivot")
+def _with_pivots(lists: DataFrame, keys: list[str], chain: Column) -> DataFrame:
+    """(chain, bit, a, b, n, common): the members b of long lists with each of the list's pivots a, numbered by bit.
+
+    Pivots are the PIVOTS members whose values are the most common ones; the limit works before the shuffle too. They name the chain.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("common"), "n", "sid"))
+    best = lists.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", "sid"))).alias("best"))
+    names = F.concat_ws(",", F.transform("best", lambda x: F.hex(x["sid"])))
+    best = best.select(*keys, "best", F.md5(F.concat(chain, names)).alias("new"))
+    members = lists.join(best.drop("best"), keys).select("new", *(["chain"] if "chain" in lists.columns else []), F.col("sid").alias("b"), "n", "common").distinct()
+    pivots = best.select("new", F.posexplode("best").alias("bit", "p")).select("new", "bit", F.col("p.sid").alias("a")).distinct()
+    return members.join(pivots, "new").filter("a <> b")
 
 
 _LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
@@ -147,7 +159,7 @@ _LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): linked pairs of classes that connect every component of all links."""
     lists = stored(inverted(classes), "lists")
-    sizes = lists.groupBy("v").agg(F.count("*").alias("len"), _pivot()).filter("len > 1")
+    sizes = lists.groupBy("v").agg(F.count("*").alias("len")).filter("len > 1")
     lists = stored(lists.join(sizes, "v"), "sized")
     short = _pairs_of(lists.filter(f"len <= {SHORT}"), ["v"], []).select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).distinct()
     # estimate by the union sketch
@@ -156,24 +168,27 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     both = both.withColumn("u", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)).withColumn("both", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))))
     likely = F.when(F.size("u") < K, 100 * F.col("both") >= PERCENT * F.size("u")).otherwise(F.col("both") >= LEAST)
     short = stored(both.filter(likely).select("a", "b"), "pairs")
-    long = lists.filter(f"len > {SHORT}").select(F.col("pivot.sid").alias("a"), F.col("sid").alias("b"), "n", "common").filter("a <> b").distinct()
-    long = stored(long, "pivots")
+    long = stored(_with_pivots(lists.filter(f"len > {SHORT}").drop("len"), ["v"], F.lit("")), "pivots")
     named = short.select("a", "b").union(long.select("a", "b"))
     wanted = named.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "rep"), "sid")
     sets = stored(full_sets(docs, stored(wanted, "wanted")), "sets")
     found = [_verified(short, sets).filter(_LINKED).select("a", "b")]
     level, around = 0, None
     while not long.isEmpty():
-        # a chain is the pivots so far; of each member, which of them it is linked to (mask) and its shingles outside all of them
-        seen = _verified(long.select("a", "b").distinct(), sets, outside=True).withColumn("bit", F.when(F.expr(_LINKED), F.lit(1 << level)).otherwise(F.lit(0)).cast("long"))
-        seen = stored(seen, "seen")
-        found.append(seen.filter("bit > 0").select("a", "b"))
-        met = long.join(seen.select("a", "b", "bit", F.col("outside").alias("rest")), ["a", "b"])
+        seen = stored(_verified(long.select("a", "b").distinct(), sets, outside=True).withColumn("linked", F.expr(_LINKED)), "seen")
+        found.append(seen.filter("linked").select("a", "b"))
+        # a chain is the pivots so far; of each other member, which of them it is linked to (mask) and its shingles outside all of them
+        inside = long.select("new", F.col("a").alias("b")).distinct()
+        met = long.join(inside, ["new", "b"], "left_anti").join(seen.select("a", "b", "linked", F.col("outside").alias("rest")), ["a", "b"])
+        bit = F.when(F.col("linked"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") + level * PIVOTS)).otherwise(0)
+        met = met.groupBy("new", *(["chain"] if around is not None else []), F.col("b").alias("sid"), "n", "common").agg(F.bit_or(bit).alias("now"), F.collect_list("rest").alias("rests"))  # PIVOTS at most
+        rest = F.aggregate(F.slice("rests", 2, PIVOTS), F.get("rests", F.lit(0)), F.array_intersect)
+        met = met.withColumn("rest", rest).drop("rests")
         if around is None:
-            around = met.select(F.hex("a").alias("chain"), F.col("b").alias("sid"), "n", "common", F.col("bit").alias("mask"), F.col("rest").alias("outside"))
+            around = met.select(F.col("new").alias("chain"), "sid", "n", "common", F.col("now").alias("mask"), F.col("rest").alias("outside"))
         else:
-            met = met.select("chain", F.col("a"), F.col("b").alias("sid"), "bit", "rest").join(around, ["chain", "sid"])
-            around = met.select(F.md5(F.concat("chain", F.hex("a"))).alias("chain"), "sid", "n", "common", F.col("mask").bitwiseOR(F.col("bit")).alias("mask"), F.array_intersect("outside", "rest").alias("outside"))
+            met = met.join(around.select("chain", "sid", "mask", "outside"), ["chain", "sid"])
+            around = met.select(F.col("new").alias("chain"), "sid", "n", "common", F.col("mask").bitwiseOR(F.col("now")).alias("mask"), F.array_intersect("outside", "rest").alias("outside"))
         around = stored(around, "around")
         # all they share lies inside the chain: what a member has inside bounds its partners' sizes
         star = around.select("chain", "sid", "n", "mask", (F.col("n") - F.size("outside")).alias("inside"))
@@ -182,15 +197,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         lone = lone.select("chain", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("mask").alias("mx"), "most")
         inner = lone.join(star, "chain").filter(f"n <= most and inside * {100 + PERCENT} >= {PERCENT} * (nx + n) and 100 * n >= {PERCENT} * nx and x <> sid and (mask & mx) = 0")
         inner = inner.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"))
-        # or they share a shingle outside it: lists anew, by chain and such a shingle, where not all are linked to one pivot
-        anew = around.select("chain", "sid", "n", "common", "mask", F.explode("outside").alias("e"))
-        sizes = anew.groupBy("chain", "e").agg(F.count("*").alias("len"), _pivot(), F.bit_and("mask").alias("all")).filter("len > 1 and all = 0")
-        again = stored(anew.join(sizes, ["chain", "e"]), "anew")
+        # or they share shingles outside it: lists anew, by chain and such a shingle, where not all are linked to one pivot
+        # (a member must share at least so many outside that it has PERCENT of its own size in common; so only the first of them count)
+        need = F.greatest(F.ceil(F.col("n") * PERCENT / 100) - (F.col("n") - F.size("outside")), F.lit(1))
+        first = F.greatest(F.size("outside") - need + 1, F.lit(0)).cast("int")
+        anew = stored(around.select("chain", "sid", "n", "common", "mask", F.explode(F.slice(F.sort_array("outside"), F.lit(1), first)).alias("e")), "anew")
+        sizes = anew.groupBy("chain", "e").agg(F.count("*").alias("len"), F.bit_and("mask").alias("all")).filter("len > 1 and all = 0").drop("all")
+        again = stored(anew.join(sizes, ["chain", "e"]), "again")
         pairs = _pairs_of(again.filter(f"len <= {SHORT}"), ["chain", "e"], ["mask"]).filter("(q.a.mask & q.b.mask) = 0")
         pairs = stored(pairs.select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).union(inner).distinct(), "pairs")
         found.append(_verified(pairs, sets).filter(_LINKED).select("a", "b"))
-        long = again.filter(f"len > {SHORT}").select("chain", F.col("pivot.sid").alias("a"), F.col("sid").alias("b"), "n", "common").filter("a <> b").distinct()
-        long = stored(long, "pivots")
+        long = stored(_with_pivots(again.filter(f"len > {SHORT}").drop("len", "mask"), ["chain", "e"], F.col("chain")), "pivots")
         level += 1
     made = found[0]
     for f in found[1:]:

@@ -19,8 +19,8 @@ from .common import stored
 SHARDS = 16
 #: Narrow ranges a shard.
 RANGES = 16
-#: Rows the sample has about (a documented bound: it only places splitters; every count is exact).
-SAMPLE = 16_000
+#: Rows the sample has about for each range (a documented bound: it only places splitters; every count is exact).
+DRAWS = 64
 
 
 def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +31,7 @@ def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def splitters(rows: DataFrame, total: int, parts: int) -> tuple[list[int], list[int]]:
     """Distinct splitters of the key at equal shares of bytes, and those of them that span a share or more, from a size-weighted sample."""
-    unit = max(1, total // SAMPLE)
+    unit = max(1, total // (DRAWS * parts))
     # a row is drawn size / unit times on average: the whole part, and once more as a hash of id and key has it
     draws = F.floor((F.col("size") + F.pmod(F.xxhash64("doc_id", "key", F.lit(7)), F.lit(unit))) / unit).cast("long")
     drawn = rows.select("key", draws.alias("weight")).filter("weight > 0").groupBy("key").agg(F.sum("weight").alias("weight")).orderBy("key").collect()
@@ -45,10 +45,18 @@ def splitters(rows: DataFrame, total: int, parts: int) -> tuple[list[int], list[
     return cuts, heavy
 
 
+def _below(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are below the key: first by whole blocks, then within one."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, int(len(cuts) ** 0.5))
+    blocks = F.size(F.filter(F.array(*map(F.lit, cuts[size - 1 :: size])), lambda c: c < key))
+    return size * blocks + F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), size * blocks + 1, size), lambda c: c < key))
+
+
 def _range_of(key: Column, cuts: list[int], heavy: list[int]) -> Column:
     """Twice the number of splitters below the key; one more for a heavy key itself."""
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key)) if cuts else F.lit(0)
-    return 2 * below + (F.array_contains(F.array(*map(F.lit, heavy)), key).cast("int") if heavy else F.lit(0))
+    return 2 * _below(key, cuts) + (key.isin(heavy).cast("int") if heavy else F.lit(0))
 
 
 def by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,11 +73,11 @@ def by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text
     cuts, heavy = splitters(rows, total, parts) if total else ([], [])
     ranged = rows.withColumn("range", _range_of(F.col("key"), cuts, heavy))
     share = max(1, total // parts)
-    full = {r.range: 2 * -(-r.bytes // share) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect() if r.bytes > 3 * share}
+    loads = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > 3 * share).collect()
+    full = spark.createDataFrame([(r.range, 2 * -(-r.bytes // share)) for r in loads], "range int, pieces long")
     own = {2 * bisect_left(cuts, k) + 1 for k in heavy}
-    pieces = F.create_map(*[F.lit(x) for kv in full.items() for x in kv])[F.col("range")] if full else F.lit(None).cast("int")
     spread = F.when(F.col("range").isin(sorted(own)), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("key"))
-    ranged = ranged.withColumn("piece", F.coalesce(F.pmod(spread, pieces), F.lit(0)).cast("int"))
+    ranged = ranged.join(F.broadcast(full), "range", "left").withColumn("piece", F.coalesce(F.pmod(spread, F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
     offsets, bytes_at, rows_at = [], 0, 0
     for r in ranged.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("range", "piece").collect():
         offsets.append((r.range, r.piece, bytes_at, rows_at))

@@ -25,6 +25,8 @@ LEAST_SURROUNDINGS = 5
 TENTHS = 3
 #: Rows up to which leaves or templates are broadcast.
 MOST_BROADCAST = 50_000
+#: Leaves whose constants (an array each) are broadcast, at most.
+MOST_LEAVES = 10_000
 FIELD = "<*>"
 
 
@@ -59,7 +61,7 @@ def _lines(docs: DataFrame, text_col: str, with_line: bool) -> DataFrame:
     return leafed.select("text_key", F.explode(each).alias("x")).select("text_key", "x.*").drop("n")
 
 
-def _recurs(keys: list[str]) -> list[Column]:
+def _recurs() -> list[Column]:
     return [F.count_distinct("around").alias("surroundings"), F.count_distinct("text_key").alias("texts")]
 
 
@@ -72,7 +74,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts are parsed twice: for the leaves (hashes only are shuffled), and for the lines of recurring leaves, whose tokens
     are counted by place. Counts are pre-aggregated, so no line, however common, gathers in one task.
     """
-    leaves = _lines(docs, text_col, False).groupBy("leaf").agg(*_recurs(["leaf"])).filter(_ENOUGH).select("leaf")
+    leaves = _lines(docs, text_col, False).groupBy("leaf").agg(*_recurs()).filter(_ENOUGH).select("leaf")
     leaves = stored(leaves, "leaves")
     near = _lines(docs, text_col, True).join(hinted(leaves, MOST_BROADCAST), "leaf").distinct()
     near = near.withColumn("tokens", F.transform(words(F.col("line")), _masked)).drop("line")
@@ -81,10 +83,12 @@ def recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spread = near.groupBy("leaf", "around", "tokens").count().select("leaf", "around", F.posexplode("tokens").alias("place", "token"))
     constant = spread.groupBy("leaf", "place", "token").agg(F.count_distinct("around").alias("n")).filter(F.col("n") >= LEAST_SURROUNDINGS)
     constant = constant.filter(F.col("token") != FIELD).select("leaf", F.struct("place", "token").alias("c")).groupBy("leaf").agg(F.collect_list("c").alias("constants"))
+    # written first, so that a leaf with many lines meets a plain table: broadcast if small, else a join whose skew Spark can split
+    constant = hinted(stored(constant, "constants"), MOST_LEAVES)
     template = near.join(constant, "leaf", "left").withColumn("template", F.transform("tokens", lambda t, i: F.when(F.array_contains(F.col("constants"), F.struct(i.alias("place"), t.alias("token"))), t).otherwise(F.lit(FIELD))))
     template = template.withColumn("n_const", F.size(F.filter("template", lambda t: t != FIELD))).filter(2 * F.col("n_const") >= F.size("template"))
     template = template.select("text_key", "at", "around", F.xxhash64("leaf", "template").alias("template"))
-    common = template.groupBy("template").agg(*_recurs(["template"])).filter(_ENOUGH).select("template")
+    common = template.groupBy("template").agg(*_recurs()).filter(_ENOUGH).select("template")
     return template.join(hinted(stored(common, "templates"), MOST_BROADCAST), "template").groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
@@ -94,12 +98,16 @@ def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Every row stays, also one that loses all lines; a null text stays null. Lines without a word are kept as they are.
     """
     # as many texts may be marked as there are: always a merge join, whose skewed keys (copies) Spark splits
-    marks = stored(recurring_lines(docs, text_col), "marks").withColumnRenamed("text_key", "_key")
-    marked = docs.withColumn("_key", F.xxhash64(text_col)).join(marks.hint("merge"), "_key", "left").drop("_key")
-    lines = F.split(text_col, "\n")
-    short = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    done = marked.withColumns({"_n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)), "_n_dropped": F.coalesce(F.size("dropped"), F.lit(0)), "_short": F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(short)})
-    return done.withColumn(text_col, F.col("_short")).drop("_short", "dropped")
+    marks = stored(recurring_lines(docs, text_col), "marks").select(F.col("text_key").alias("__key"), F.col("dropped").alias("__dropped"))
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__key"))
+    marked = held.join(marks.hint("merge"), "__key", "left")
+    lines, dropped = F.split("__text", "\n"), F.col("__dropped")
+    short = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(dropped, i)), "\n")
+    text = F.when(dropped.isNull(), F.col("__text")).otherwise(short)
+    worded = F.array_size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    own = [text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in names]
+    return marked.select(*own, F.coalesce(worded, F.lit(0)).alias("_n_lines"), F.coalesce(F.array_size(dropped), F.lit(0)).alias("_n_dropped"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     """Fit to labelled documents outside the held-out fold, at most `rows` of them; null labels and labels without a document don't count."""
     known = labels.select(labels["doc_id"].alias("_id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     some = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    texts = docs.join(F.broadcast(some), docs["doc_id"] == some["_id"]).select("label", docs["text"])
+    texts = docs.join(F.broadcast(some), docs["doc_id"] == some["_id"]).select(some["label"], docs["text"])
     got = texts.mapInArrow(_measured, "label int, x array<double>").collect()
     data = sorted((tuple(r.x), r.label) for r in got)
     return PairwiseAdditive().fit(np.array([x for x, _ in data]).reshape(len(data), len(FEATURES)), np.array([y for _, y in data], float))

@@ -28,7 +28,6 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import CHUNK, LOWER, cut_text, hash_spans, scratch_path, word_spans
 

@@ -31,9 +31,9 @@ def odd_texts():
 @pytest.fixture(scope="session")
 def odd_docs(spark, odd_texts):
     """The odd texts as documents, twice over, with null and repeated ids, null sources, and columns whose names clash with inner ones."""
-    rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, len(t or ""), i, "x", None) for i, t in enumerate(odd_texts * 2)]
-    rows += [(None, "a null id " * 20, "en", "s1", 0, 0, "x", None), (7, rows[7][1], "en", "s1", 0, 0, "x", None)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, component_id long"
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, len(t or ""), i, "x", None, 5, "y") for i, t in enumerate(odd_texts * 2)]
+    rows += [(None, "a null id " * 20, "en", "s1", 0, 0, "x", None, 5, "y"), (7, rows[7][1], "en", "s1", 0, 0, "x", None, 5, "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, component_id long, label int, dropped string"
     return spark.createDataFrame(rows, schema).repartition(3)
 
 

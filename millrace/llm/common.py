@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import hinted, scratch_path, stored
 
-__all__ = ["CHUNK", "LOWER", "SPACE", "WORD", "cut_text", "hash_spans", "hinted", "mix64", "scratch_path", "shingle_hashes", "stored", "word_hashes", "word_spans", "words"]
+__all__ = ["CHUNK", "LOWER", "SPACE", "WORD", "cut_text", "hash_spans", "hinted", "in_batches", "mix64", "scratch_path", "shingle_hashes", "stored", "word_hashes", "word_spans", "words"]
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +23,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: Bytes of a batch of rows that passes to Python, at most (a single row may be larger).
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes: texts differ in length by orders, so a number of rows bounds nothing.
+
+    The bound is a setting of the session; a lower one that is set already stays.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = re.match(r"(\d+)([kmg]?)", conf.get(name).lower())
+    if int(held[1]) * 1024 ** " kmg".index(held[2] or " ") > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 # -- vectorised hashing of words over UTF-8 bytes ----------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -31,7 +48,7 @@ LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: list[np.ndarray] = []
 #: Bytes hashed at once; longer texts are cut at white space and their word hashes joined.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

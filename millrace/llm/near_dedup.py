@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
-from .common import hinted, mix64, shingle_hashes, stored, word_hashes
+from .common import hinted, in_batches, mix64, shingle_hashes, stored, word_hashes
 
 #: Words of a shingle; retained hashes; shared retained values that a link needs at least.
 WIDTH, K, LEAST = 5, 64, 30
@@ -72,7 +72,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "sid", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, sid binary, sketch array<long>")
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, n_shingles long, sid binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     reps = wanted.select("rep").distinct()
     texts = docs.select("doc_id", "text").join(hinted(reps, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text")
-    made = texts.mapInArrow(run, "sid binary, shingles binary")
+    made = in_batches(texts, run, "sid binary, shingles binary")
     # rows that repeat an id may bring other sets along; the join leaves the wanted ones, once
     return made.join(hinted(wanted.select("sid"), MOST_BROADCAST), "sid").dropDuplicates(["sid"])
 
@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, outside: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     both = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("xb")), "b")
-    return both.select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary, inter long, na long, nb long" + ", outside array<long>" * outside)
+    return in_batches(both.select("a", "b", "xa", "xb"), run, "a binary, b binary, inter long, na long, nb long" + ", outside array<long>" * outside)
 
 
 def _with_pivots(lists: DataFrame, keys: list[str], chain: Column) -> DataFrame:

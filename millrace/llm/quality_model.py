@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 #: Labelled rows that the model is fitted to, at most (a documented bound; those of least hash of the id).
 TRAIN_ROWS = 20_000
 #: Predicted 1 from this score on.
@@ -213,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     known = labels.select(labels["doc_id"].alias("_id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     some = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
     texts = docs.join(F.broadcast(some), docs["doc_id"] == some["_id"]).select(some["label"], docs["text"])
-    got = texts.mapInArrow(_measured, "label int, x array<double>").collect()
+    got = in_batches(texts, _measured, "label int, x array<double>").collect()
     data = sorted((tuple(r.x), r.label) for r in got)
     return PairwiseAdditive().fit(np.array([x for x, _ in data]).reshape(len(data), len(FEATURES)), np.array([y for _, y in data], float))
 
@@ -231,4 +233,4 @@ def scored(docs: DataFrame, model: PairwiseAdditive, threshold: float = THRESHOL
 
     source = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
     schema = T.StructType([source.schema[0], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import mix64
+from .common import in_batches, mix64
 
 MARK = "▁"
 _NONE = np.int64(1) << 40
@@ -423,7 +423,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     source = docs.select(docs[id_col], docs[text_col])
     schema = T.StructType([source.schema[0], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -457,4 +457,4 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     source = docs.select(docs[id_col], docs[text_col])
     schema = T.StructType([source.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

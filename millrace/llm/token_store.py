@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, LOWER, cut_text, hash_spans, scratch_path, word_spans
+from .common import CHUNK, LOWER, cut_text, hash_spans, in_batches, scratch_path, word_spans
 
 MAGIC = b"MRTOK001"
 BLOCK = 8192
@@ -360,7 +360,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 1, fi
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.n], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
 
     ranged = source.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    made = ranged.select("doc_id", "text").mapInArrow(run, "part int, file string, n_docs long, n_ids long").collect()  # one row a file
+    made = in_batches(ranged.select("doc_id", "text"), run, "part int, file string, n_docs long, n_ids long").collect()  # one row a file
     rows, start = [], 0
     for r in sorted(made, key=lambda r: r.part):
         rows.append((r.file, r.n_docs, r.n_ids, start))

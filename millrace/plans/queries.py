@@ -412,12 +412,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("v"))
 
 
-@query()
+_REPLAY = """with e as (select user_id, event_id, floor(value)::bigint as v, event_id % 3 <> 0 as push from events),
+s as (select *, sum(case when push then 1 else -1 end) over (partition by user_id order by event_id) as total from e),
+a as (select *, total - least(0, min(total) over (partition by user_id order by event_id)) as after from s),
+h as (select *, coalesce(lag(after) over (partition by user_id order by event_id), 0) as held from a) """
+
+
+@query(_REPLAY + ", c as (select *, sum(push::int) over w as pushed, sum((not push and held > 0)::int) over w as taken from h window w as (partition by user_id order by event_id)) select p.user_id, p.event_id, p.v, q.v as popped from c p left join c q on q.user_id is not distinct from p.user_id and q.push and q.pushed = p.taken and p.held > 0 where not p.push")
 def fifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.fifo_replay(_events(spark, sf_dir), ["user_id"], ["event_id"], F.expr(_PUSH), "v")
 
 
-@query()
+@query(_REPLAY + ", t as (select *, last_value(case when push then v end ignore nulls) over (partition by user_id, case when push then held + 1 else held end order by event_id rows between unbounded preceding and 1 preceding) as top from h) select user_id, event_id, v, case when held > 0 then top end as popped from t where not push")
 def lifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.lifo_replay(_events(spark, sf_dir), ["user_id"], ["event_id"], F.expr(_PUSH), "v")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir, or, where it is unset (tests), a folder of our own that goes when Python ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.millrace.scratch", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.millrace.scratch", root)
     return root.rstrip("/")
 

@@ -150,7 +150,7 @@ def _with_pivots(lists: DataFrame, keys: list[str], chain: Column) -> DataFrame:
     best = best.select(*keys, "best", F.md5(F.concat(chain, names)).alias("new"))
     members = lists.join(best.drop("best"), keys).select("new", *(["chain"] if "chain" in lists.columns else []), F.col("sid").alias("b"), "n", "common").distinct()
     pivots = best.select("new", F.posexplode("best").alias("bit", "p")).select("new", "bit", F.col("p.sid").alias("a")).distinct()
-    return members.join(pivots, "new").filter("a <> b")
+    return members.join(hinted(stored(pivots, "pivots"), MOST_BROADCAST), "new").filter("a <> b")
 
 
 _LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
@@ -192,10 +192,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         around = stored(around, "around")
         # all they share lies inside the chain: what a member has inside bounds its partners' sizes
         star = around.select("chain", "sid", "n", "mask", (F.col("n") - F.size("outside")).alias("inside"))
-        least = star.groupBy("chain").agg(F.min("n").alias("least"))
+        least = hinted(stored(star.groupBy("chain").agg(F.min("n").alias("least")), "least"), MOST_BROADCAST)
         lone = star.filter("mask % 2 = 0").join(least, "chain").withColumn("most", F.floor(F.col("inside") * (100 + PERCENT) / PERCENT) - F.col("n")).filter("most >= least")
-        lone = lone.select("chain", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("mask").alias("mx"), "most")
-        inner = lone.join(star, "chain").filter(f"n <= most and inside * {100 + PERCENT} >= {PERCENT} * (nx + n) and 100 * n >= {PERCENT} * nx and x <> sid and (mask & mx) = 0")
+        lone = hinted(stored(lone.select("chain", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("mask").alias("mx"), "most"), "lone"), MOST_BROADCAST)
+        inner = star.join(lone, "chain").filter(f"n <= most and inside * {100 + PERCENT} >= {PERCENT} * (nx + n) and 100 * n >= {PERCENT} * nx and x <> sid and (mask & mx) = 0")
         inner = inner.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"))
         # or they share shingles outside it: lists anew, by chain and such a shingle, where not all are linked to one pivot
         # (a member must share at least so many outside that it has PERCENT of its own size in common; so only the first of them count)

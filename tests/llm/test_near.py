@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import near_dedup, neighbours, substring_dedup
+from millrace.llm import common, near_dedup, neighbours, substring_dedup
 
 from .conftest import shingles, words
 
@@ -125,6 +125,26 @@ def test_passages(spark, odd_docs, no_docs):
     assert substring_dedup.repeated(no_docs).collect() == []
 
 
+def test_passages_with_one_block_changed():
+    """Where only one block in the middle differs, the sets alone decide, however wide the gap."""
+    rng = random.Random(4)
+    for size, put, cut in ((80, 6, 0), (80, 6, 6), (98, 8, 8), (80, 0, 6), (150, 12, 12), (400, 60, 60), (90, 2, 0), (60, 6, 6), (80, 30, 0)):
+        for stray in (0, 3):
+            a = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
+            new = np.array([rng.getrandbits(64) for _ in range(put)], np.uint64)
+            mid = size // 2
+            b = np.concatenate([a[: mid - cut // 2], new, a[mid - cut // 2 + cut :]])
+            x, y = common.shingle_hashes(a), common.shingle_hashes(b)
+            alike = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            # a few shingles of the passage once more, some way off
+            tail = common.shingle_hashes(np.array([rng.getrandbits(64) for _ in range(30)], np.uint64))
+            text = np.concatenate([y, tail, x[5 : 5 + stray]])
+            got = substring_dedup.passages(x, text, [0, len(text)])
+            whole = [p for p in got if p[2] == 0 and p[3] >= len(y)]
+            assert bool(whole) == (alike >= 0.75), (size, put, cut, stray, alike, got)
+            assert all(p[4] >= 0.75 for p in got)
+
+
 def _windows(x, lo, hi, least):
     if hi - lo < least:
         return set()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import hinted, scratch_path, stored
 
-__all__ = ["CHUNK", "LOWER", "SPACE", "WORD", "cut_text", "hash_spans", "hinted", "in_batches", "mix64", "scratch_path", "shingle_hashes", "stored", "word_hashes", "word_spans", "words"]
+__all__ = ["CHUNK", "LOWER", "SPACE", "WORD", "cut_text", "hash_spans", "hinted", "in_batches", "mix64", "run_sums", "scratch_path", "shingle_hashes", "stored", "word_hashes", "word_spans", "words"]
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,6 +90,14 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def run_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A prefix polynomial over hashes, and the factors that shift back: (total[end] - total[start]) * back[start] is a run's hash before mixing."""
+    power, back = _powers(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * power[: len(x)], out=total[1:])
+    return total, back
+
+
 def cut_text(raw: bytes) -> Iterator[bytes]:
     """Cut a long text at white space into pieces of about CHUNK bytes, words whole."""
     at = 0

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import common, near_dedup, neighbours, substring_dedup
@@ -145,6 +146,46 @@ def test_passages_with_one_block_changed():
             assert all(p[4] >= 0.75 for p in got)
 
 
+def test_passages_behind_a_hot_phrase(spark):
+    """Pairs share an exact passage, half of it a phrase of many other texts, which has the least hash for some or all functions."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    phrase = prose(28)
+    rows = [" ".join([*prose(60), *phrase, *prose(60)]) for _ in range(600)]
+    pairs = []
+    for k in range(120):
+        cut = rng.randint(0, 26) if k % 2 else 13
+        passage = [*prose(cut), *phrase, *prose(26 - cut)] if k % 4 else [*prose(11), *phrase, *prose(11)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [" ".join([*prose(rng.randint(0, 60)), *passage, *prose(rng.randint(0, 60))]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeated(docs).collect()
+    assert {frozenset((r.doc_a, r.doc_b)) for r in got} >= {frozenset(p) for p in pairs}
+    low = [words(x) for x in rows]
+    for r in got:
+        x, y = (shingles(" ".join(low[d][i:j])) for d, i, j in ((r.doc_a, r.start_a, r.end_a), (r.doc_b, r.start_b, r.end_b)))
+        assert abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.75
+
+
+def test_collisions_stream():
+    """Batches of any size give the same hits: all pairs of signatures of few texts, and each window of a hot one by itself."""
+    rng = random.Random(3)
+    rows = sorted({(rng.choice([0, 1, 8, 9, 16, 24]) if rng.random() < 0.6 else 8 * rng.randrange(5, 60), rng.randrange(1, 9), rng.randrange(40)) for _ in range(300)})
+    texts = defaultdict(set)
+    for sig, key, _ in rows:
+        texts[sig].add(key)
+    want = set()
+    for sig, key, span in rows:
+        few = sorted(texts[sig])
+        hot = len(few) > substring_dedup.FEW
+        near = {few[0], few[few.index(key) - 1]} if key != few[0] else set()
+        want |= {(r, key, sig & 7, span, sig, hot) for r in near | ({key} if hot else set())}
+    for size in (1, 2, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows[i : i + size])], names=["sig", "key", "span"]) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in substring_dedup._collisions(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want, size
+
+
 def _windows(x, lo, hi, least):
     if hi - lo < least:
         return set()

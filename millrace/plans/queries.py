@@ -390,6 +390,13 @@ def augmented_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.union(*[Flow(df.select(F.lit(i).cast("long").alias("level"), "node", "min_key", "count", "total")) for i, df in enumerate(levels)]).df
 
 
+@query("with a as (select o_orderkey k, o_custkey c, row_number() over (order by o_orderkey) - 1 pos from orders), l as (select i, (32 ** (i + 1))::bigint as width from (select unnest(range(0, 12)) as i) where i = 0 or 32 ** i < (select count(*) from orders)) select i::bigint as level, (pos // width)::bigint as node, min(k) as min_key, count(*) as count, sum(c)::bigint as total from a, l group by 1, 2")
+def augmented_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels, up to the root."""
+    levels = _orders(spark, sf_dir).levels(32, F.sum("o_custkey").alias("total"))
+    return combine.union(*[Flow(df.select(F.lit(i).cast("long").alias("level"), "node", "min_key", "count", "total")) for i, df in enumerate(levels)]).df
+
+
 @query("select o_orderkey, o_custkey from orders where o_orderkey between 50 and 900")
 def layered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = index_by_batches(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
@@ -453,6 +460,14 @@ def list_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.list_rank(edges).select("src", "rank")
 
 
+@query("select src, rank from (select o_orderkey as src, row_number() over (order by o_orderkey) as rank, lead(o_orderkey) over (order by o_orderkey) as dst from orders) where dst is not null")
+def list_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, each linked to the one of the next key."""
+    x = _orders(spark, sf_dir)
+    edges = x.successors(x.df.select(F.col("o_orderkey").alias("src")), "src", "dst", strict=True).filter("dst is not null")
+    return graph.list_rank(edges.withColumn("weight", F.lit(1).cast("long"))).select("src", "rank")
+
+
 # -- space -------------------------------------------------------------------------------------
 
 
@@ -475,6 +490,12 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.overlap_join(r, r.filter("id % 3 = 0"), "id", "id")
 
 
+@query(_RECTS + "select r.id as red, b.id as blue from r, r b where r.xlo <= b.xhi and b.xlo <= r.xhi and r.ylo <= b.yhi and b.ylo <= r.yhi")
+def overlap_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _rects(spark, sf_dir)
+    return spatial.overlap_join(r, r, "id", "id")
+
+
 @query(_RECTS + "select id, xlo, ylo from r where xlo between 10 and 40 and ylo between 5 and 20")
 def window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _rects(spark, sf_dir).select("id", F.col("xlo").alias("x"), F.col("ylo").alias("y"))
@@ -493,6 +514,13 @@ def batch_window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.batch_window_query(r.select("id", F.col("xlo").alias("x"), F.col("ylo").alias("y")), boxes, "id", "box")
 
 
+@query(_RECTS + ", b as (select id as box, id % 90 as x0, id % 90 + 6 as x1, id % 40 as y0, id % 40 + 5 as y1 from r) select box, id as point from r, b where xlo between x0 and x1 and ylo between y0 and y1")
+def batch_window_query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _rects(spark, sf_dir)
+    boxes = r.select(F.col("id").alias("box"), (F.col("id") % 90).alias("xlo"), (F.col("id") % 40).alias("ylo"), (F.col("id") % 90 + 6).alias("xhi"), (F.col("id") % 40 + 5).alias("yhi"))
+    return spatial.batch_window_query(r.select("id", F.col("xlo").alias("x"), F.col("ylo").alias("y")), boxes, "id", "box")
+
+
 @query(_RECTS + "select id, ((xlo - 40) * (xlo - 40) + (ylo - 20) * (ylo - 20))::bigint as distance2 from r order by 2, 1 limit 10")
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _rects(spark, sf_dir).select("id", F.col("xlo").alias("x"), F.col("ylo").alias("y"))
@@ -505,6 +533,12 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.interval_join(o, o, "id", "id")
 
 
+@query("with e as (select o_custkey as lo, o_custkey + 3 as hi, o_orderkey as id from orders) select x.id as a, y.id as b from e x, e y where x.lo <= y.hi and y.lo <= x.hi")
+def interval_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi"))
+    return spatial.interval_join(o, o, "id", "id")
+
+
 @query()
 def hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.pack(_rects(spark, sf_dir), "id", 16)[0].select("id", "hilbert", "pos", "node")
@@ -575,3 +609,15 @@ def general_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bmmc_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipe = begin(lambda: range_source(spark, 0, 8)()) | permute.bit_permute([5, 3, 7], 2) | mapping.project("i", "dest")
     return pipe().df
+
+
+@query("with a as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as pos, length(bin((select count(*) from orders) - 1)) as bits from orders) select o_orderkey, list_sum(list_transform(range(0, bits), lambda i: ((pos >> (bits - 1 - i)) & 1) << i))::bigint as dest from a")
+def bmmc_permute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, the bits of their positions reversed: places below the next power of two."""
+
+    def reversal(pos: Column, n: int) -> Column:
+        bits = max(1, (n - 1).bit_length())
+        return permute.bit_matrix_apply(pos, [1 << (bits - 1 - i) for i in range(bits)], 0)
+
+    flow = Flow(_t(spark, sf_dir, "orders").select("o_orderkey"), ("o_orderkey",))
+    return permute.general_permute(reversal)(flow).df.select("o_orderkey", "dest")

@@ -65,3 +65,23 @@ def test_streams(spark, small, tmp_path):
         aggregate.unique(["value"])(flow.with_df(flow.df, ("ts",)))
     done = streaming.windowed(flow, "ts", "1 hour", "1 hour", ["event_type"], F.count("*").alias("n"))
     assert done.isStreaming
+
+
+def test_whole_tables(spark, small):
+    """The queries over all rows of their tables, against brute force."""
+    orders = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_custkey").toPandas()
+    key, lo = orders.o_orderkey.to_numpy(), orders.o_custkey.to_numpy()
+    meet = abs(lo[:, None] - lo[None, :]) <= 3
+    got = QUERIES["interval_join_all"](spark, small)
+    assert "NestedLoop" not in _plan(got) and "Cartesian" not in _plan(got)
+    pairs = {(r.a, r.b) for r in got.collect()}
+    assert len(pairs) == meet.sum() and all(meet[list(key).index(a), list(key).index(b)] for a, b in list(pairs)[:200])
+    levels = QUERIES["augmented_levels_all"](spark, small).toPandas()
+    assert (levels.groupby("level")["count"].sum() == len(key)).all() and (levels.level == levels.level.max()).sum() == 1
+    ranks = {r.src: r["rank"] for r in QUERIES["list_rank_all"](spark, small).collect()}
+    assert ranks == {k: i + 1 for i, k in enumerate(sorted(key)[:-1])}
+    dest = {r.dest for r in QUERIES["bmmc_permute_all"](spark, small).collect()}
+    assert len(dest) == len(key)
+    parts = spark.read.parquet(f"{small}/part.parquet").select("p_partkey").count()
+    assert QUERIES["overlap_join_all"](spark, small).select("blue").distinct().count() == parts
+    assert QUERIES["batch_window_query_all"](spark, small).filter("box % 50 <> 0").count() > 0

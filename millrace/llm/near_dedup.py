@@ -38,6 +38,8 @@ PERCENT = 75
 SHORT = 32
 #: Members of a long list that all others are compared with.
 PIVOTS = 3
+#: Pivots of a chain that its masks (longs) tell apart.
+MASK_BITS = 63
 #: Rows up to which ids of documents to fetch are broadcast.
 MOST_BROADCAST = 200_000
 
@@ -153,6 +155,14 @@ def _with_pivots(lists: DataFrame, keys: list[str], chain: Column) -> DataFrame:
     return members.join(hinted(stored(pivots, "pivots"), MOST_BROADCAST), "new").filter("a <> b")
 
 
+def _mask_bit(bit: Column, level: int) -> Column:
+    """The place in a chain's mask of a pivot of this level; none where the mask is full, as shifts wrap around.
+
+    A mask only spares pairs that are connected anyway: without the bit they are verified.
+    """
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit + level * PIVOTS) if (level + 1) * PIVOTS <= MASK_BITS else F.lit(0).cast("long")
+
+
 _LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
 
 
@@ -180,7 +190,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         # a chain is the pivots so far; of each other member, which of them it is linked to (mask) and its shingles outside all of them
         inside = long.select("new", F.col("a").alias("b")).distinct()
         met = long.join(inside, ["new", "b"], "left_anti").join(seen.select("a", "b", "linked", F.col("outside").alias("rest")), ["a", "b"])
-        bit = F.when(F.col("linked"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") + level * PIVOTS)).otherwise(0)
+        bit = F.when(F.col("linked"), _mask_bit(F.col("bit"), level)).otherwise(0)
         met = met.groupBy("new", *(["chain"] if around is not None else []), F.col("b").alias("sid"), "n", "common").agg(F.bit_or(bit).alias("now"), F.collect_list("rest").alias("rests"))  # PIVOTS at most
         rest = F.aggregate(F.slice("rests", 2, PIVOTS), F.get("rests", F.lit(0)), F.array_intersect)
         met = met.withColumn("rest", rest).drop("rests")

@@ -84,6 +84,18 @@ def test_a_long_list_by_pivots(spark, monkeypatch):
     _check(spark, list(enumerate(rows)))
 
 
+def test_masks_of_many_levels(spark):
+    """No pivot's bit is another's, however long a chain gets; where there is no bit left, no link is lost."""
+    bits = spark.range(1).select(*[near_dedup._mask_bit(F.lit(b), level).alias(f"x{level}_{b}") for level in range(40) for b in range(near_dedup.PIVOTS)]).first()
+    used = [x for x in bits if x]
+    assert len(used) == len(set(used)) == 63 and all(x == 0 for x in bits[63:])
+
+
+def test_links_without_masks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MASK_BITS", 0)
+    test_a_long_list_by_pivots(spark, monkeypatch)
+
+
 def test_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (5, text), (3, text + " more"), (None, text), (9, None), (9, ""), (None, None), (8, "a b"), (6, "A\nB"), (4, "b a")]

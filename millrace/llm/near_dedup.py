@@ -7,13 +7,12 @@ LEAST values, it shares one of the rarest K - LEAST + 1 of either side, and only
 have in common drop out by that. Short lists give their pairs; the union sketch of a pair estimates its similarity and
 drops the hopeless; full sets verify the rest.
 
-A long list is compared only with its pivots, the members with the most common values (of near copies, about the original). That
-loses nothing: members linked to one pivot are connected. Of two others that are linked, either all they share lies in
-the pivots' union; then the sizes of their intersections with it, which are known, bound their own sizes, and the few
-pairs within the bounds are verified. Or they share shingles outside the pivots, at least as many as a link needs beyond what
-lies inside; the first of these, in the order of their hashes, make lists anew, with pivots of their own, and "outside" is
-then outside all pivots so far, which shrinks until all lists are short. The work is linear in a
-list's length, never all pairs of a group. Links become components by rounds of least labels.
+Long lists that overlap are one group, and no group is compared pair by pair. Its core is the shingles that more than half of its
+members have. A member differs from the core by what it lacks of it and what it has beyond it; how many of these differences a pair has
+in common decides exactly whether it is linked (`_cost`). So all members near enough to the core are linked with the one nearest to it,
+without a comparison, and any other link shares differences, at least as many as its sides' distances ask for. The rarest differences
+of a member, as many as that bound leaves, make lists anew. Each holds at most half of the group, so that after a logarithmic number
+of levels all are short; a level's rows are bounded by its members' shingles. Links become components by rounds of least labels.
 """
 
 from __future__ import annotations
@@ -34,12 +33,8 @@ WIDTH, K, LEAST = 5, 64, 30
 WHOLE = K * 3 // 4
 #: Per cent of the union that a link's intersection has at least.
 PERCENT = 75
-#: Lists up to this length give all their pairs (at most 16 a member), longer ones go by pivots.
+#: Lists up to this length give all their pairs (at most 16 a member); those of longer ones are found by differences from a core.
 SHORT = 32
-#: Members of a long list that all others are compared with.
-PIVOTS = 3
-#: Pivots of a chain that its masks (longs) tell apart.
-MASK_BITS = 63
 #: Rows up to which ids of documents to fetch are broadcast.
 MOST_BROADCAST = 200_000
 
@@ -78,34 +73,32 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles): the full sets of the wanted classes (sid, rep), from the texts of their representatives; one row a class."""
+    """(sid, shingles): the full sets, ascending, of the wanted classes (sid, rep), from the texts of their representatives; one row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows = [(_set_id(s), s.astype("<u8").tobytes()) for _, s in _sets(part, 1) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], names=["sid", "shingles"])
+                rows = [(_set_id(s), np.sort(s.view(np.int64))) for _, s in _sets(part, 1) if len(s)]
+                offs = np.cumsum([0] + [len(s) for _, s in rows]).astype(np.int32)
+                flat = np.concatenate([s for _, s in rows]) if rows else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["sid", "shingles"])
 
     reps = wanted.select("rep").distinct()
     texts = docs.select("doc_id", "text").join(hinted(reps, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text")
-    made = in_batches(texts, run, "sid binary, shingles binary")
+    made = in_batches(texts, run, "sid binary, shingles array<long>")
     # rows that repeat an id may bring other sets along; the join leaves the wanted ones, once
     return made.join(hinted(wanted.select("sid"), MOST_BROADCAST), "sid").dropDuplicates(["sid"])
 
 
 def inverted(classes: DataFrame) -> DataFrame:
-    """(v, sid, n, common): the listed values of each class: of those that another class retains too, the rarest, as many as the bound leaves.
-
-    common says how usual a class's retained values are: of a group of near copies, those nearest to the original have most.
-    """
+    """(v, sid, n): the listed values of each class: of those that another class retains too, the rarest, as many as the bound leaves."""
     each = classes.select("sid", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     shared = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     hits = each.join(shared, "v").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("hits"))  # at most K each
     need = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(LEAST)).cast("int")
     hits = hits.withColumn("keep", F.size("hits") - need + 1).filter("keep > 0")
-    usual = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    return hits.select("sid", "n", usual.alias("common"), F.explode(F.slice("hits", F.lit(1), F.col("keep"))).alias("x")).select("x.v", "sid", "n", "common")
+    return hits.select("sid", "n", F.explode(F.slice("hits", F.lit(1), F.col("keep"))).alias("x")).select("x.v", "sid", "n")
 
 
 def _pairs_of(lists: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
@@ -116,54 +109,123 @@ def _pairs_of(lists: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     return flat.filter(near)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, outside: bool = False) -> DataFrame:
-    """(a, b, inter, na, nb) of pairs by their full sets; with `outside`, also the shingles of b that a doesn't have."""
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose union sketch doesn't rule out a link."""
+    s = classes.select("sid", "sketch")
+    both = pairs.join(s.select(F.col("sid").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("sid").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = both.withColumn("u", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)).withColumn("both", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))))
+    enough = F.when(F.size("u") < K, 100 * F.col("both") >= PERCENT * F.size("u")).otherwise(F.col("both") >= LEAST)
+    return both.filter(enough).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their full sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter, na, nb, rest = [], [], [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                at = np.searchsorted(x, y)
-                hit = x[np.minimum(at, len(x) - 1)] == y
-                inter.append(int(hit.sum()))
-                na.append(len(x))
-                nb.append(len(y))
-                if outside:
-                    rest.append(y[~hit].view(np.int64).tolist())
-            cols = [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())]
-            names = ["a", "b", "inter", "na", "nb"]
-            if outside:
-                cols, names = [*cols, pa.array(rest, pa.list_(pa.int64()))], [*names, "outside"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            (at_x, x), (at_y, y) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            linked = []
+            for i in range(batch.num_rows):
+                p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
+                inter = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+                linked.append(100 * inter >= PERCENT * (len(p) + len(q) - inter))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("xb")), "b")
-    return in_batches(both.select("a", "b", "xa", "xb"), run, "a binary, b binary, inter long, na long, nb long" + ", outside array<long>" * outside)
+    return in_batches(both.select("a", "b", "xa", "xb"), run, "a binary, b binary")
+
+
+def _grouped(lists: DataFrame) -> DataFrame:
+    """(g, sid, n, label): the members of long lists, each once; those of lists that overlap are in one group."""
+    first = lists.groupBy("v").agg(F.min("sid").alias("a"))
+    roots = connected(lists.join(first, "v").select("a", F.col("sid").alias("b")).distinct())
+    members = lists.select("sid", "n").distinct().join(roots.withColumnRenamed("node", "sid"), "sid")
+    # a number that two roots share makes one group of theirs, which changes nothing but the work
+    return members.select(F.xxhash64("root").alias("g"), "sid", "n", F.col("sid").alias("label"))
 
 
-def _with_pivots(lists: DataFrame, keys: list[str], chain: Column) -> DataFrame:
-    """(chain, bit, a, b, n, common): the members b of long lists with each of the list's pivots a, numbered by bit.
+def _cost(lacks: Column, beyond: Column) -> Column:
+    """A member's distance from its group's core.
 
-    Pivots are the PIVOTS members whose values are the most common ones; the limit works before the shuffle too. They name the chain.
+    A pair's intersection is the core less what either side lacks, plus the differences (both lacked, or both beyond) in common. Put into
+    100 * inter >= PERCENT * union, that is: (100 + PERCENT) * (differences in common) >= cost + cost - (100 - PERCENT) * (core's size).
     """
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("common"), "n", "sid"))
-    best = lists.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", "sid"))).alias("best"))
-    names = F.concat_ws(",", F.transform("best", lambda x: F.hex(x["sid"])))
-    best = best.select(*keys, "best", F.md5(F.concat(chain, names)).alias("new"))
-    members = lists.join(best.drop("best"), keys).select("new", *(["chain"] if "chain" in lists.columns else []), F.col("sid").alias("b"), "n", "common").distinct()
-    pivots = best.select("new", F.posexplode("best").alias("bit", "p")).select("new", "bit", F.col("p.sid").alias("a")).distinct()
-    return members.join(hinted(stored(pivots, "pivots"), MOST_BROADCAST), "new").filter("a <> b")
+    return 100 * lacks + PERCENT * beyond
 
 
-def _mask_bit(bit: Column, level: int) -> Column:
-    """The place in a chain's mask of a pivot of this level; none where the mask is full, as shifts wrap around.
+def _by_group(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """Rows with aggregates of their group. No window: a group's rows stay spread over tasks."""
+    made = stored(rows.groupBy("g").agg(*[c.alias(k) for k, c in aggregates.items()]), "groups")
+    return rows.join(hinted(made, MOST_BROADCAST), "g")
 
-    A mask only spares pairs that are connected anyway: without the bit they are verified.
-    """
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit + level * PIVOTS) if (level + 1) * PIVOTS <= MASK_BITS else F.lit(0).cast("long")
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, sid, n, label, p, cost, d): of each member the differences from the core that others of the group have too, rarest first."""
+    groups = _by_group(groups, members=F.count("*"))
+    held = groups.join(sets, "sid")
+    each = held.select("g", "members", F.explode("shingles").alias("e")).groupBy("g", "e").agg(F.count("*").alias("f"), F.any_value("members").alias("members")).filter("f > 1")
+    each = stored(each.withColumn("core", 2 * F.col("f") > F.col("members")), "counts")
+    # a core has at most twice as many shingles as the group's mean set
+    core = stored(each.filter("core").groupBy("g").agg(F.collect_list("e").alias("core")), "cores")
+    apart = held.join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    apart = apart.withColumns({"lacks": F.array_except("core", "shingles"), "beyond": F.array_except("shingles", "core")})
+    row = F.struct("n", "label", F.size("core").alias("p"), _cost(F.size("lacks"), F.size("beyond")).cast("long").alias("cost"))
+    apart = apart.select("g", "sid", row.alias("row"), F.explode_outer(F.concat("lacks", "beyond")).alias("e"))
+    rare = each.withColumn("f", F.when(F.col("core"), F.col("members") - F.col("f")).otherwise(F.col("f"))).filter("f > 1").select("g", "e", "f")
+    met = apart.join(rare, ["g", "e"], "left").groupBy("g", "sid").agg(F.any_value("row").alias("row"), F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "e")))).alias("d"))
+    return met.select("g", "sid", "row.*", "d")
 
 
-_LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
+def _compared(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A level: links by nearness to the core, and lists (g, e, sid, n, label, ..., len) in which all other links that are needed meet.
+
+    Members linked with the nearest one (not lone) are connected; of the links among them none is needed. So a pair has a lone side, and
+    its sides' costs say how many differences it shares at least, `need`. What no partner can reach drops out, then the bounds are taken anew.
+    """
+    rows = _by_group(stored(_differences(groups, sets), "differences"), nearest=F.min(F.struct("cost", "sid")))
+    rows = rows.withColumn("slack", (100 - PERCENT) * F.col("p")).withColumn("lone", F.col("cost") + F.col("nearest.cost") > F.col("slack"))
+    star = rows.filter("not lone and sid <> nearest.sid").select(F.col("nearest.sid").alias("a"), F.col("sid").alias("b"))
+    # a partner's size bounds what it lacks of the core
+    least = 100 * (F.col("p") - F.floor(100 * F.col("n") / PERCENT))
+    for _ in range(2):
+        rows = _by_group(stored(rows.drop("any", "alone"), "rows"), any=F.min("cost"), alone=F.min(F.when(F.col("lone"), F.col("cost")))).filter("alone is not null")
+        partner = F.greatest(F.when(F.col("lone"), F.col("any")).otherwise(F.col("alone")), least)
+        need = F.greatest(F.ceil((F.col("cost") + partner - F.col("slack")) / (100 + PERCENT)), F.lit(1)).cast("int")
+        rows = rows.withColumn("need", need).filter("size(d) >= need")
+    label = F.when(F.col("lone"), F.col("label")).otherwise(F.col("nearest.sid"))
+    rows = rows.withColumns({"label": label, "bits": _bits(F.col("d")), "s": F.size("d")})
+    own = ["sid", "n", "label", "lone", "cost", "slack", "bits", "s"]
+    anew = rows.select("g", *own, F.posexplode(F.slice("d", F.lit(1), F.size("d") - F.col("need") + 1)).alias("at", "x"))
+    anew = stored(anew.select("g", F.col("x.e").alias("e"), *own, (F.col("s") - F.col("at")).alias("left")), "anew")
+    # in the list of the first difference that a pair has in common, it has no more than those from there on
+    met = anew.groupBy("g", "e").agg(F.min("cost").alias("any"), F.min(F.when(F.col("lone"), F.col("cost"))).alias("alone"), F.count("*").alias("len")).filter("len > 1 and alone is not null")
+    anew = anew.join(met.drop("len"), ["g", "e"]).filter((100 + PERCENT) * F.col("left") >= F.col("cost") + F.when(F.col("lone"), F.col("any")).otherwise(F.col("alone")) - F.col("slack"))
+    anew = stored(anew.drop("any", "alone"), "lists")
+    names = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    sizes = anew.groupBy("g", "e").agg(F.count("*").alias("len"), F.bool_or("lone").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"), *names).filter("len > 1 and any and lo <> hi")
+    # of long lists with the same members, one
+    sizes = sizes.groupBy("g", "len", "h1", "h2", F.when(F.col("len") <= SHORT, F.col("e")).alias("e0")).agg(F.min("e").alias("e"))
+    return star, anew.join(sizes.select("g", "e", "len"), ["g", "e"])
+
+
+#: Words of 64 bits in which a member's differences are marked.
+MARKS = 8
+
+
+def _bits(d: Column) -> Column:
+    """Marks of differences, which are hashes: the lowest six bits name a bit, the next ones the word."""
+    word = lambda k: F.aggregate(F.filter(d, lambda x: (F.shiftrightunsigned(x["e"], 6) % MARKS) == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["e"].bitwiseAND(F.lit(63)).cast("int"))))
+    return F.array(*[word(k) for k in range(MARKS)])
+
+
+def _possible(a: Column, b: Column) -> Column:
+    """Whether a pair of a list may have enough differences in common, and isn't known to be connected.
+
+    A mark that the other side doesn't have stands for one difference at least that isn't in common.
+    """
+    only = lambda x, y: sum((F.bit_count(x["bits"][k].bitwiseAND(F.bitwise_not(y["bits"][k]))) for k in range(MARKS)), F.lit(0))
+    most = F.least(a["s"] - only(a, b), b["s"] - only(b, a), a["left"], b["left"])
+    return (a["label"] != b["label"]) & (a["lone"] | b["lone"]) & ((100 + PERCENT) * most >= a["cost"] + b["cost"] - a["slack"])
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -172,53 +234,18 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = lists.groupBy("v").agg(F.count("*").alias("len")).filter("len > 1")
     lists = stored(lists.join(sizes, "v"), "sized")
     short = _pairs_of(lists.filter(f"len <= {SHORT}"), ["v"], []).select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).distinct()
-    # estimate by the union sketch
-    s = classes.select("sid", "sketch")
-    both = short.join(s.select(F.col("sid").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("sid").alias("b"), F.col("sketch").alias("sb")), "b")
-    both = both.withColumn("u", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)).withColumn("both", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))))
-    likely = F.when(F.size("u") < K, 100 * F.col("both") >= PERCENT * F.size("u")).otherwise(F.col("both") >= LEAST)
-    short = stored(both.filter(likely).select("a", "b"), "pairs")
-    long = stored(_with_pivots(lists.filter(f"len > {SHORT}").drop("len"), ["v"], F.lit("")), "pivots")
-    named = short.select("a", "b").union(long.select("a", "b"))
-    wanted = named.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "rep"), "sid")
+    short = stored(_likely(short, classes), "pairs")
+    groups = stored(_grouped(lists.filter(f"len > {SHORT}")), "groups")
+    wanted = short.select(F.explode(F.array("a", "b")).alias("sid")).union(groups.select("sid")).distinct().join(classes.select("sid", "rep"), "sid")
     sets = stored(full_sets(docs, stored(wanted, "wanted")), "sets")
-    found = [_verified(short, sets).filter(_LINKED).select("a", "b")]
-    level, around = 0, None
-    while not long.isEmpty():
-        seen = stored(_verified(long.select("a", "b").distinct(), sets, outside=True).withColumn("linked", F.expr(_LINKED)), "seen")
-        found.append(seen.filter("linked").select("a", "b"))
-        # a chain is the pivots so far; of each other member, which of them it is linked to (mask) and its shingles outside all of them
-        inside = long.select("new", F.col("a").alias("b")).distinct()
-        met = long.join(inside, ["new", "b"], "left_anti").join(seen.select("a", "b", "linked", F.col("outside").alias("rest")), ["a", "b"])
-        bit = F.when(F.col("linked"), _mask_bit(F.col("bit"), level)).otherwise(0)
-        met = met.groupBy("new", *(["chain"] if around is not None else []), F.col("b").alias("sid"), "n", "common").agg(F.bit_or(bit).alias("now"), F.collect_list("rest").alias("rests"))  # PIVOTS at most
-        rest = F.aggregate(F.slice("rests", 2, PIVOTS), F.get("rests", F.lit(0)), F.array_intersect)
-        met = met.withColumn("rest", rest).drop("rests")
-        if around is None:
-            around = met.select(F.col("new").alias("chain"), "sid", "n", "common", F.col("now").alias("mask"), F.col("rest").alias("outside"))
-        else:
-            met = met.join(around.select("chain", "sid", "mask", "outside"), ["chain", "sid"])
-            around = met.select(F.col("new").alias("chain"), "sid", "n", "common", F.col("mask").bitwiseOR(F.col("now")).alias("mask"), F.array_intersect("outside", "rest").alias("outside"))
-        around = stored(around, "around")
-        # all they share lies inside the chain: what a member has inside bounds its partners' sizes
-        star = around.select("chain", "sid", "n", "mask", (F.col("n") - F.size("outside")).alias("inside"))
-        least = hinted(stored(star.groupBy("chain").agg(F.min("n").alias("least")), "least"), MOST_BROADCAST)
-        lone = star.filter("mask % 2 = 0").join(least, "chain").withColumn("most", F.floor(F.col("inside") * (100 + PERCENT) / PERCENT) - F.col("n")).filter("most >= least")
-        lone = hinted(stored(lone.select("chain", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("mask").alias("mx"), "most"), "lone"), MOST_BROADCAST)
-        inner = star.join(lone, "chain").filter(f"n <= most and inside * {100 + PERCENT} >= {PERCENT} * (nx + n) and 100 * n >= {PERCENT} * nx and x <> sid and (mask & mx) = 0")
-        inner = inner.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"))
-        # or they share shingles outside it: lists anew, by chain and such a shingle, where not all are linked to one pivot
-        # (a member must share at least so many outside that it has PERCENT of its own size in common; so only the first of them count)
-        need = F.greatest(F.ceil(F.col("n") * PERCENT / 100) - (F.col("n") - F.size("outside")), F.lit(1))
-        first = F.greatest(F.size("outside") - need + 1, F.lit(0)).cast("int")
-        anew = stored(around.select("chain", "sid", "n", "common", "mask", F.explode(F.slice(F.sort_array("outside"), F.lit(1), first)).alias("e")), "anew")
-        sizes = anew.groupBy("chain", "e").agg(F.count("*").alias("len"), F.bit_and("mask").alias("all")).filter("len > 1 and all = 0").drop("all")
-        again = stored(anew.join(sizes, ["chain", "e"]), "again")
-        pairs = _pairs_of(again.filter(f"len <= {SHORT}"), ["chain", "e"], ["mask"]).filter("(q.a.mask & q.b.mask) = 0")
-        pairs = stored(pairs.select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).union(inner).distinct(), "pairs")
-        found.append(_verified(pairs, sets).filter(_LINKED).select("a", "b"))
-        long = stored(_with_pivots(again.filter(f"len > {SHORT}").drop("len", "mask"), ["chain", "e"], F.col("chain")), "pivots")
-        level += 1
+    found = [_verified(short, sets)]
+    while not groups.isEmpty():
+        star, anew = _compared(groups, sets)
+        anew = stored(anew, "again")
+        pairs = _pairs_of(anew.filter(f"len <= {SHORT}"), ["g", "e"], ["label", "lone", "cost", "slack", "bits", "s", "left"]).filter(_possible(F.col("q.a"), F.col("q.b")))
+        pairs = pairs.select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).distinct()
+        found += [star, _verified(stored(_likely(pairs, classes), "pairs"), sets)]
+        groups = stored(anew.filter(f"len > {SHORT}").select(F.xxhash64("g", "e").alias("g"), "sid", "n", "label"), "groups")
     made = found[0]
     for f in found[1:]:
         made = made.union(f)

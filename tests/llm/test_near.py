@@ -84,16 +84,47 @@ def test_a_long_list_by_pivots(spark, monkeypatch):
     _check(spark, list(enumerate(rows)))
 
 
-def test_masks_of_many_levels(spark):
-    """No pivot's bit is another's, however long a chain gets; where there is no bit left, no link is lost."""
-    bits = spark.range(1).select(*[near_dedup._mask_bit(F.lit(b), level).alias(f"x{level}_{b}") for level in range(40) for b in range(near_dedup.PIVOTS)]).first()
-    used = [x for x in bits if x]
-    assert len(used) == len(set(used)) == 63 and all(x == 0 for x in bits[63:])
-
-
-def test_links_without_masks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "MASK_BITS", 0)
-    test_a_long_list_by_pivots(spark, monkeypatch)
+def test_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Of near copies of one text, four times as many give at most five times the pairs to verify; components are those of all pairs."""
+    verified = []
+    of = near_dedup.stored
+
+    def counted(df, name):
+        made = of(df, name)
+        if name == "pairs":
+            verified.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    for size, share in ((300, 0.02), (300, 0.03)):
+        pairs = []
+        for n in (100, 400):
+            rng = random.Random(5)
+            base = " ".join(rng.choice(vocabulary) for _ in range(size))
+            verified.clear()
+            _check(spark, list(enumerate(_changed(rng, base, share, vocabulary) for _ in range(n))))
+            pairs.append(sum(verified))
+        assert pairs[1] <= 5 * pairs[0] + 100, pairs
+
+
+def test_a_very_long_text(spark, odd_texts):
+    """A text of 120,000 words beside a near copy and a copy with a word more."""
+    long = odd_texts[6]
+    cut = long.split()
+    cut[5000:5600] = ["new"] * 500
+    docs = spark.createDataFrame([(4, long), (3, " ".join(cut)), (2, "a short one"), (1, long + " end")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.components(docs).collect()}
+    assert got == {1: (len(shingles(long + " end")), 1), 2: (1, 2), 3: (len(shingles(" ".join(cut))), 1), 4: (len(shingles(long)), 1)}
+
+
+def test_extra_columns(spark, odd_docs):
+    """Columns named like inner ones change nothing and stay."""
+    slim = odd_docs.select("doc_id", "text")
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(near_dedup.components(odd_docs).collect()) == key(near_dedup.components(slim).collect())
+    kept = near_dedup.keep_first(odd_docs)
+    assert kept.columns == odd_docs.columns and key(kept.select("doc_id", "text").collect()) == key(near_dedup.keep_first(slim).collect())
 
 
 def test_ids(spark):

@@ -24,7 +24,7 @@ def words(text: Column) -> Column:
 
 
 #: Bytes of a batch of rows that passes to Python, at most (a single row may be larger).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def in_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:

@@ -137,8 +137,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _grouped(lists: DataFrame) -> DataFrame:
     """(g, sid, n, label): the members of long lists, each once; those of lists that overlap are in one group."""
-    first = lists.groupBy("v").agg(F.min("sid").alias("a"))
-    roots = connected(lists.join(first, "v").select("a", F.col("sid").alias("b")).distinct())
+    first = stored(lists.groupBy("v").agg(F.min("sid").alias("a")), "first")
+    roots = connected(lists.join(hinted(first, MOST_BROADCAST), "v").select("a", F.col("sid").alias("b")).distinct())
     members = lists.select("sid", "n").distinct().join(roots.withColumnRenamed("node", "sid"), "sid")
     # a number that two roots share makes one group of theirs, which changes nothing but the work
     return members.select(F.xxhash64("root").alias("g"), "sid", "n", F.col("sid").alias("label"))
@@ -159,8 +159,11 @@ def _by_group(rows: DataFrame, **aggregates: Column) -> DataFrame:
     return rows.join(hinted(made, MOST_BROADCAST), "g")
 
 
-def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(g, sid, n, label, p, cost, d): of each member the differences from the core that others of the group have too, rarest first."""
+def _apart(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, sid, n, label, p, cost, differences): each member's distance and differences from the core of its group, of p shingles.
+
+    And (g, e, f): how many members have a difference in common, where more than one has.
+    """
     groups = _by_group(groups, members=F.count("*"))
     held = groups.join(sets, "sid")
     each = held.select("g", "members", F.explode("shingles").alias("e")).groupBy("g", "e").agg(F.count("*").alias("f"), F.any_value("members").alias("members")).filter("f > 1")
@@ -169,11 +172,9 @@ def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
     core = stored(each.filter("core").groupBy("g").agg(F.collect_list("e").alias("core")), "cores")
     apart = held.join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
     apart = apart.withColumns({"lacks": F.array_except("core", "shingles"), "beyond": F.array_except("shingles", "core")})
-    row = F.struct("n", "label", F.size("core").alias("p"), _cost(F.size("lacks"), F.size("beyond")).cast("long").alias("cost"))
-    apart = apart.select("g", "sid", row.alias("row"), F.explode_outer(F.concat("lacks", "beyond")).alias("e"))
+    cost = _cost(F.size("lacks"), F.size("beyond")).cast("long")
     rare = each.withColumn("f", F.when(F.col("core"), F.col("members") - F.col("f")).otherwise(F.col("f"))).filter("f > 1").select("g", "e", "f")
-    met = apart.join(rare, ["g", "e"], "left").groupBy("g", "sid").agg(F.any_value("row").alias("row"), F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "e")))).alias("d"))
-    return met.select("g", "sid", "row.*", "d")
+    return stored(apart.select("g", "sid", "n", "label", F.size("core").alias("p"), cost.alias("cost"), F.concat("lacks", "beyond").alias("differences")), "apart"), rare
 
 
 def _compared(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,9 +183,14 @@ def _compared(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
     Members linked with the nearest one (not lone) are connected; of the links among them none is needed. So a pair has a lone side, and
     its sides' costs say how many differences it shares at least, `need`. What no partner can reach drops out, then the bounds are taken anew.
     """
-    rows = _by_group(stored(_differences(groups, sets), "differences"), nearest=F.min(F.struct("cost", "sid")))
+    apart, rare = _apart(groups, sets)
+    rows = _by_group(apart, nearest=F.min(F.struct("cost", "sid")))
     rows = rows.withColumn("slack", (100 - PERCENT) * F.col("p")).withColumn("lone", F.col("cost") + F.col("nearest.cost") > F.col("slack"))
     star = rows.filter("not lone and sid <> nearest.sid").select(F.col("nearest.sid").alias("a"), F.col("sid").alias("b"))
+    # of each member, the differences that others have too, rarest first
+    some = rows.join(hinted(stored(rows.filter("lone").select("g").distinct(), "open"), MOST_BROADCAST), "g")
+    d = some.select("g", "sid", F.explode("differences").alias("e")).join(rare, ["g", "e"]).groupBy("g", "sid").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
+    rows = some.drop("differences").join(d, ["g", "sid"])
     # a partner's size bounds what it lacks of the core
     least = 100 * (F.col("p") - F.floor(100 * F.col("n") / PERCENT))
     for _ in range(2):

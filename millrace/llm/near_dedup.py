@@ -53,7 +53,7 @@ def _set_id(s: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, sid, sketch): sid names the set (null for an empty one), sketch has its K least hashes, ascending."""
+    """(doc_id, text_key, n_shingles, set_id, sketch): set_id names the set (null for an empty one), sketch has its K least hashes, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,13 +67,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate(kept) if kept else np.empty(0, np.int64)
                 offs = np.cumsum([0] + [len(x) for x in kept]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "sid", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "set_id", "sketch"])
 
-    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, n_shingles long, sid binary, sketch array<long>")
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, n_shingles long, set_id binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles): the full sets, ascending, of the wanted classes (sid, rep), from the texts of their representatives; one row a class."""
+    """(sid, shingles): the full sets, ascending, of the wanted classes (sid, set_id, rep), from the texts of their representatives; one row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,13 +82,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows = [(_set_id(s), np.sort(s.view(np.int64))) for _, s in _sets(part, 1) if len(s)]
                 offs = np.cumsum([0] + [len(s) for _, s in rows]).astype(np.int32)
                 flat = np.concatenate([s for _, s in rows]) if rows else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["sid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["set_id", "shingles"])
 
     reps = wanted.select("rep").distinct()
     texts = docs.select("doc_id", "text").join(hinted(reps, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text")
-    made = in_batches(texts, run, "sid binary, shingles array<long>")
+    made = in_batches(texts, run, "set_id binary, shingles array<long>")
     # rows that repeat an id may bring other sets along; the join leaves the wanted ones, once
-    return made.join(hinted(wanted.select("sid"), MOST_BROADCAST), "sid").dropDuplicates(["sid"])
+    return made.join(hinted(wanted.select("sid", "set_id"), MOST_BROADCAST), "set_id").dropDuplicates(["sid"]).select("sid", "shingles")
 
 
 def inverted(classes: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("xb")), "b")
-    return in_batches(both.select("a", "b", "xa", "xb"), run, "a binary, b binary")
+    return in_batches(both.select("a", "b", "xa", "xb"), run, "a long, b long")
 
 
 def _grouped(lists: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     short = _pairs_of(lists.filter(f"len <= {SHORT}"), ["v"], []).select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).distinct()
     short = stored(_likely(short, classes), "pairs")
     groups = stored(_grouped(lists.filter(f"len > {SHORT}")), "groups")
-    wanted = short.select(F.explode(F.array("a", "b")).alias("sid")).union(groups.select("sid")).distinct().join(classes.select("sid", "rep"), "sid")
+    wanted = short.select(F.explode(F.array("a", "b")).alias("sid")).union(groups.select("sid")).distinct().join(classes.select("sid", "set_id", "rep"), "sid")
     sets = stored(full_sets(docs, stored(wanted, "wanted")), "sets")
     found = [_verified(short, sets)]
     while not groups.isEmpty():
@@ -261,16 +261,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def _named(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text_key, n_shingles, and component_id."""
     rows = stored(sketched(docs), "sketches")
-    sets = rows.filter("sid is not null")
-    classes = sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
+    sets = rows.filter("set_id is not null")
+    classes = sets.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"))
+    # a class goes by a number, which is half as long as its name; it is fixed once the table is written
+    classes = stored(classes.withColumn("sid", F.monotonically_increasing_id()), "classes")
     roots = connected(links(docs, classes))
-    joined = classes.select("sid", "rep", "last", "nameless").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    joined = classes.select("sid", "set_id", "rep", "last", "nameless").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     least = joined.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     joined = joined.join(least, "root", "left").withColumn("component", F.coalesce("least", "rep"))
     # only classes with a row that isn't its component's first; all other documents are their own components
-    named = stored(joined.filter("not (component <=> last) or nameless").select("sid", "component"), "components")
-    out = rows.select("doc_id", "text_key", "n_shingles", "sid").join(named, "sid", "left")
+    named = stored(joined.filter("not (component <=> last) or nameless").select("set_id", "component"), "components")
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_id").join(named, "set_id", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

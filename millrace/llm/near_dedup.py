@@ -17,7 +17,7 @@ of levels all are short; a level's rows are bounded by its members' shingles. Li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ WHOLE = K * 3 // 4
 PERCENT = 75
 #: Lists up to this length give all their pairs (at most 16 a member); those of longer ones are found by differences from a core.
 SHORT = 32
+#: The same for lists of differences, whose pairs are tested by marks where they stand: that is cheaper than a level.
+MARKED = 128
 #: Rows up to which ids of documents to fetch are broadcast.
 MOST_BROADCAST = 200_000
 
@@ -101,12 +103,17 @@ def inverted(classes: DataFrame) -> DataFrame:
     return hits.select("sid", "n", F.explode(F.slice("hits", F.lit(1), F.col("keep"))).alias("x")).select("x.v", "sid", "n")
 
 
-def _pairs_of(lists: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """All pairs of short lists whose sizes allow a link; a is the lesser name. Lists hold SHORT members at most."""
+def _pairs_of(lists: DataFrame, keys: list[str], extra: Sequence[str] = (), test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The distinct pairs (a, b) of lists of bounded length whose sizes allow a link and which pass the test; a is the lesser name."""
+
+    def fits(a: Column, b: Column) -> Column:
+        near = (100 * a["n"] >= PERCENT * b["n"]) & (100 * b["n"] >= PERCENT * a["n"])
+        return near & test(a, b) if test else near
+
     held = lists.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sid", "n", *extra))).alias("m"))
-    flat = held.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), F.lit(1), i), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("q"))
-    near = (100 * F.col("q.a.n") >= PERCENT * F.col("q.b.n")) & (100 * F.col("q.b.n") >= PERCENT * F.col("q.a.n"))
-    return flat.filter(near)
+    before = lambda x, i: F.filter(F.slice(F.col("m"), F.lit(1), i), lambda y: fits(y, x))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(before(x, i), lambda y: F.struct(y["sid"].alias("a"), x["sid"].alias("b")))))
+    return held.select(F.explode(pairs).alias("q")).select("q.a", "q.b").distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def _compared(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
     names = [F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
     sizes = anew.groupBy("g", "e").agg(F.count("*").alias("len"), F.bool_or("lone").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"), *names).filter("len > 1 and any and lo <> hi")
     # of long lists with the same members, one
-    sizes = sizes.groupBy("g", "len", "h1", "h2", F.when(F.col("len") <= SHORT, F.col("e")).alias("e0")).agg(F.min("e").alias("e"))
+    sizes = sizes.groupBy("g", "len", "h1", "h2", F.when(F.col("len") <= MARKED, F.col("e")).alias("e0")).agg(F.min("e").alias("e"))
     return star, anew.join(sizes.select("g", "e", "len"), ["g", "e"])
 
 
@@ -239,8 +246,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     lists = stored(inverted(classes), "lists")
     sizes = lists.groupBy("v").agg(F.count("*").alias("len")).filter("len > 1")
     lists = stored(lists.join(sizes, "v"), "sized")
-    short = _pairs_of(lists.filter(f"len <= {SHORT}"), ["v"], []).select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).distinct()
-    short = stored(_likely(short, classes), "pairs")
+    short = stored(_likely(_pairs_of(lists.filter(f"len <= {SHORT}"), ["v"]), classes), "pairs")
     groups = stored(_grouped(lists.filter(f"len > {SHORT}")), "groups")
     wanted = short.select(F.explode(F.array("a", "b")).alias("sid")).union(groups.select("sid")).distinct().join(classes.select("sid", "set_id", "rep"), "sid")
     sets = stored(full_sets(docs, stored(wanted, "wanted")), "sets")
@@ -248,10 +254,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     while not groups.isEmpty():
         star, anew = _compared(groups, sets)
         anew = stored(anew, "again")
-        pairs = _pairs_of(anew.filter(f"len <= {SHORT}"), ["g", "e"], ["label", "lone", "cost", "slack", "bits", "s", "left"]).filter(_possible(F.col("q.a"), F.col("q.b")))
-        pairs = pairs.select(F.col("q.a.sid").alias("a"), F.col("q.b.sid").alias("b")).distinct()
+        pairs = _pairs_of(anew.filter(f"len <= {MARKED}"), ["g", "e"], ["label", "lone", "cost", "slack", "bits", "s", "left"], _possible)
         found += [star, _verified(stored(_likely(pairs, classes), "pairs"), sets)]
-        groups = stored(anew.filter(f"len > {SHORT}").select(F.xxhash64("g", "e").alias("g"), "sid", "n", "label"), "groups")
+        groups = stored(anew.filter(f"len > {MARKED}").select(F.xxhash64("g", "e").alias("g"), "sid", "n", "label"), "groups")
     made = found[0]
     for f in found[1:]:
         made = made.union(f)

@@ -71,6 +71,7 @@ def test_groups(spark, odd_texts):
 def test_a_long_list_by_pivots(spark, monkeypatch):
     """A group far longer than a short list: links through members, copies of copies, and a passage in common."""
     monkeypatch.setattr(near_dedup, "SHORT", 4)
+    monkeypatch.setattr(near_dedup, "MARKED", 4)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(3000)]
     prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))

@@ -337,3 +337,19 @@ def test_windows_are_short_of_all(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
     rows = neighbours.search(df, share=0.01, least=12).filter(F.col("query_id") == 100).collect()
     assert {r.vec_id for r in rows} <= set(range(80, 121)) and len(rows) == 10
+
+
+def test_clusters_need_few_distances(spark):
+    """Vectors in clusters: of 50,000 rows a query is compared with less than a tenth, and 0.9 of the true neighbours are found."""
+    rng = np.random.default_rng(5)
+    n, width = 50_000, 32
+    v = (rng.normal(size=(1000, width))[rng.integers(0, 1000, n)] + 0.1 * rng.normal(size=(n, width))).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), width).cast(pa.list_(pa.float32()))})
+    found, window = neighbours.searched(spark.createDataFrame(table).repartition(4), 500, 10, None, neighbours.LEAST_WINDOW, "vec_id", "embedding")
+    assert 2 * window * neighbours.CURVES < n / 10
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r.query_id].add(r.vec_id)
+    ids, w = np.arange(n), v.astype(float)
+    hits = sum(len(got[q] & {i for i, _ in _nearest(ids, w, q)}) for q in range(0, n, 500))
+    assert hits >= 0.9 * 1000

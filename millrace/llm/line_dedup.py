@@ -92,10 +92,11 @@ def recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return template.join(hinted(stored(common, "templates"), MOST_BROADCAST), "template").groupBy("text_key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
-def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All documents with their recurring lines dropped from the text, and n_lines and n_dropped added as _n_lines and _n_dropped.
+def cleaned(docs: DataFrame, text_col: str = "text", length_col: str | None = None, counts: bool = True) -> DataFrame:
+    """All documents with their recurring lines dropped from the text, and, with `counts`, n_lines and n_dropped added as _n_lines and _n_dropped.
 
-    Every row stays, also one that loses all lines; a null text stays null. Lines without a word are kept as they are.
+    Every row stays, also one that loses all lines; a null text stays null. Lines without a word are kept as they are. A column of the
+    text's length, if named, is set anew where lines went. Other columns stay as they are; without `counts` they may have any name.
     """
     # as many texts may be marked as there are: always a merge join, whose skewed keys (copies) Spark splits
     marks = stored(recurring_lines(docs, text_col), "marks").select(F.col("text_key").alias("__key"), F.col("dropped").alias("__dropped"))
@@ -106,7 +107,10 @@ def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     short = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(dropped, i)), "\n")
     text = F.when(dropped.isNull(), F.col("__text")).otherwise(short)
     worded = F.array_size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    own = [text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in names]
+    length = lambda c: F.when(dropped.isNull(), F.col("__row")[c]).otherwise(F.length(short).cast(docs.schema[c].dataType))
+    own = [text.alias(c) if c == text_col else length(c).alias(c) if c == length_col else F.col("__row")[c].alias(c) for c in names]
+    if not counts:
+        return marked.select(*own)
     return marked.select(*own, F.coalesce(worded, F.lit(0)).alias("_n_lines"), F.coalesce(F.array_size(dropped), F.lit(0)).alias("_n_dropped"))
 
 

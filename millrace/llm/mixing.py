@@ -60,9 +60,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST
     size is the words of the whole text; taken the words the mix takes: whole copies, and of one document a source the part up
     to the target. Offsets in a stream are exact prefix sums: buckets of the hash order are summed (pre-aggregated), prefix sums run over
     buckets, and within a bucket in one task; a source of any size is spread over its buckets. Rows of equal id and text are
-    copies of their own; null ids, texts and sources take part (null text: size 0, taken 0).
+    copies of their own; null ids, texts and sources take part (null text: size 0, taken 0). Kept columns that clash are refused.
     """
-    spark = docs.sparkSession
+    if set(keep) & {"doc_id", "source", "size", "draw", "tie", "bucket", "upto", "before", "source_size", "place", "target", "taken", "position", "start"}:
+        raise ValueError("a kept column has the name of one that the plan makes; pack it into a struct as `mixed` does")
     full = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.size(words(docs[text_col])).cast("long").alias("size"), F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("draw"), F.crc32(F.coalesce(docs[text_col], F.lit(""))).alias("tie"), *keep)
     rows = stored(full.drop(*keep), "sizes")
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")

@@ -20,8 +20,8 @@ LEAST_SPREAD = {"symbol_rate": 30, "dup_line_rate": 60, "repeat_rate": 30, "uppe
 REACH = 6
 #: Documents below which a group takes its limits from a merged sketch.
 LEAST_DOCS = 30
-#: Rows of the table of limits up to which it is broadcast.
-MOST_GROUPS = 100_000
+#: Rows of the table of limits, and of that of rejected documents, up to which it is broadcast (a row has 16 bytes).
+MOST_GROUPS, MOST_REJECTED = 100_000, 500_000
 
 
 def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,12 +116,20 @@ def report(docs: DataFrame) -> DataFrame:
     return judged(stored(base, "counts")).select("doc_id", *BASE, "kept")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their own columns only.
+def _name(docs: DataFrame, lang_col: str, source_col: str, id_col: str, text_col: str) -> list[Column]:
+    """128 bits of all that a verdict depends on, and the id; nulls count as values of their own."""
+    parts = [x for c in (id_col, lang_col, source_col, text_col) for x in (docs[c].isNull(), docs[c])]
+    return [F.xxhash64(F.lit(k), *parts).alias(f"_name{k}") for k in (1, 2)]
 
-    Counts are made in two passes over the texts (for the limits, then for the verdicts), as writing the texts out would cost more than counting again.
+
+def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The documents that the rules keep, with their own columns only, whatever their names.
+
+    Texts are counted once; only counts are written. Rejected documents leave by an anti join on a 128-bit name of id, language, source and text, broadcast
+    where few are rejected. Null and empty texts are rejected (no words); rows that repeat an id are judged each by its own text; an empty table stays empty.
     """
-    names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"), F.col("lang").alias("_dl"), F.col("source").alias("_ds"))
-    base = with_base(inner, "_text")
-    return judged(base, "_dl", "_ds").filter("kept").select(*[F.col("_row")[c].alias(c) for c in names])
+    slim = docs.select(*_name(docs, "lang", "source", id_col, text_col), docs["lang"].alias("lang"), docs["source"].alias("source"), docs[text_col].alias("text"))
+    bad = judged(stored(with_base(slim).drop("text"), "counts")).filter(~F.col("kept")).select("_name1", "_name2").distinct()
+    bad = stored(bad, "rejected")
+    one, two = _name(docs, "lang", "source", id_col, text_col)
+    return docs.join(hinted(bad, MOST_REJECTED), (one == bad["_name1"]) & (two == bad["_name2"]), "left_anti")

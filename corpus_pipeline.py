@@ -1,36 +1,38 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate dedup, mixing, and tokenisation, a written table between stages."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate dedup, mixing, and tokenisation, a written table between stages.
+
+Every stage takes the columns of documents and any others, and all but the last return the same columns. Null and empty texts are
+rejected by the quality rules; in the later stages they stay (line dedup), are linked with nothing (near dedup), have no words and so no copy in the
+mix (mixing) and encode as empty texts. Null ids, languages and sources are values like others; rows that repeat an id are
+judged each by its own text. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec
 from millrace.llm.common import stored
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs).select(*COLUMNS)
+    return quality_rules.keep_good(docs)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that recur across documents go from the texts; n_chars is that of the text left."""
-    done = line_dedup.cleaned(docs)
-    return done.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return line_dedup.cleaned(docs, length_col="n_chars", counts=False)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return near_dedup.keep_first(docs).select(*COLUMNS)
+    """Of each group of near duplicates the document of the smallest id stays; rows that repeat its id and text stay with it."""
+    return near_dedup.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, each as often as its source's target asks for."""
-    return mixing.mixed(docs).select(*COLUMNS)
+    return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

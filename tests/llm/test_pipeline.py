@@ -1,6 +1,7 @@
 """The pipeline: every stage against plain Python on its own input, and the guard of the entry module."""
 
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -74,10 +75,43 @@ def test_tokens(stages):
 
 
 def test_run(spark, small, stages):
-    assert corpus_pipeline.run(spark, small).count() == stages[5].count()
+    key = lambda rows: sorted((r.doc_id, tuple(r.token_ids)) for r in rows)
+    assert key(corpus_pipeline.run(spark, small).collect()) == key(stages[5].collect())
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def _rows(df):
+    return sorted(map(repr, (tuple(r) for r in df.collect())))
+
+
+def test_odd_tables(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated rows, extra and clashing columns, and no rows, stage by stage."""
+    extra = odd_docs.withColumns({"_row": odd_docs.key, "_n_dropped": odd_docs.label, "__text": odd_docs.key, "_name1": odd_docs.label})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, extra, "")
+        assert out.columns == extra.columns, name
+        got = out.collect()
+        if name != "line_dedup":
+            assert {repr(tuple(r)) for r in got} <= {repr(tuple(r)) for r in extra.collect()}, name
+        slim = stage(spark, odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), "")
+        assert _rows(out.select("doc_id", "text", "lang", "source", "n_chars")) == _rows(slim), name
+        if name == "quality_rules":
+            assert all(len((r.text or "").split()) >= 50 for r in got)
+        elif name == "line_dedup":
+            assert len(got) == extra.count()
+        assert stage(spark, no_docs, "").collect() == [] and stage(spark, no_docs, "").columns == no_docs.columns, name
+    out = corpus_pipeline.STAGES[4][1](spark, extra, "")
+    assert out.count() == extra.count() and corpus_pipeline.STAGES[4][1](spark, no_docs, "").collect() == []
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80))
+    rows = [(1, prose, "en", None), (1, "short", "en", None), (1, prose, None, "en"), (None, prose, "en", None), (None, None, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted((r.doc_id or 0, r.lang or "", len(r.text)) for r in quality_rules.keep_good(docs).collect()) == sorted([(1, "en", len(prose)), (1, "", len(prose)), (0, "en", len(prose))])
+
+
 def test_entry_without_the_corpus_operators(tmp_path):
     """The rest imports when these folders and the pipeline are gone."""
     for name in ("millrace", "__spark_entry__.py"):

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import stored
+
 
 @dataclass(frozen=True)
 class Flow:
@@ -108,6 +110,64 @@ def chunk_if(flag: bool, pipe: Pipe) -> Pipe:
     return pipe if flag else identity()
 
 
+def chunk_end_if(flag: bool, pipe: Pipe, otherwise: Pipe | None = None) -> Pipe:
+    """The end if the flag is set, else the other end; without one, an end that gives the flow back."""
+    return pipe if flag else otherwise or end(lambda flow: flow, "end")
+
+
+def checked(pipe: Pipe | None, kind: str) -> Pipe:
+    """A virtual chunk: a pipe of the kind that is asked for. One that isn't assigned is the identity, which only a middle can be."""
+    if pipe is None:
+        if kind != "middle":
+            raise TypeError(f"an unassigned chunk can't be a {kind}")
+        return identity()
+    if pipe.kind != kind:
+        raise TypeError(f"the chunk is a {pipe.kind}, not a {kind}")
+    return pipe
+
+
+def vfork(out: Pipe | None, side: Pipe | None) -> Pipe:
+    """The flow goes on through `out`, and, where `side` is assigned, whole into that end as well. What the end gives is forwarded as "forked"."""
+
+    def run(flow: Flow) -> Flow:
+        if side is None:
+            return checked(out, "middle")(flow)
+        given = checked(side, "end")(flow)
+        return checked(out, "middle")(flow).forward("forked", given)
+
+    return middle(run, "vfork")
+
+
+class Shared:
+    """Data structures by name that pipelines share: one phase fills a structure, a later one reads it or adds to it.
+
+    A structure is a written table, so that readers see what was there when the plan was made, and lost executors lose nothing.
+    """
+
+    def __init__(self) -> None:
+        self._held: dict[str, Flow] = {}
+
+    def put(self, name: str) -> Pipe:
+        """An end that fills a structure, or adds items of the same columns to it."""
+
+        def run(flow: Flow) -> Flow:
+            held = self._held.get(name)
+            whole = flow if held is None else held.with_df(held.df.unionByName(flow.df))
+            self._held[name] = whole.with_df(stored(whole.df, "shared"))
+            return self._held[name]
+
+        return end(run, f"put {name}")
+
+    def get(self, name: str) -> Flow:
+        if name not in self._held:
+            raise KeyError(f"no structure {name!r} was filled")
+        return self._held[name]
+
+    def source(self, name: str) -> Pipe:
+        """A begin that gives a structure's items; it is looked up when the pipeline runs."""
+        return begin(lambda: self.get(name), f"get {name}")
+
+
 def preparer(hook: Callable[[Flow], None]) -> Pipe:
     """Identity that calls a hook when the plan is made."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..flow import Flow, Pipe, middle
@@ -66,9 +66,9 @@ def chunker(n: int, column: str, name: str = "items") -> Pipe:
     return middle(run, "chunker")
 
 
-def fold(*aggregates: Column) -> Callable[[Flow], object]:
-    """Aggregates of all items."""
-    return lambda flow: flow.df.agg(*aggregates)
+def fold(*aggregates: Column, by: list[str] | None = None) -> Callable[[Flow], DataFrame]:
+    """Aggregates of all items, or of each group of them."""
+    return lambda flow: flow.df.groupBy(*(by or [])).agg(*aggregates)
 
 
 def ranked_within(group: list[str], order: list[Column], name: str = "nth") -> Pipe:
@@ -93,3 +93,18 @@ def top_difference(value: str, k: int = 20, name: str = "diff") -> Pipe:
 
 def rollup(keys: list[str], *aggregates: Column) -> Pipe:
     return middle(lambda flow: flow.with_df(flow.df.rollup(*keys).agg(*aggregates), ()), "rollup")
+
+
+def cube(keys: list[str], *aggregates: Column) -> Pipe:
+    return middle(lambda flow: flow.with_df(flow.df.cube(*keys).agg(*aggregates), ()), "cube")
+
+
+def grouping_sets(sets: list[list[str]], *aggregates: Column) -> Pipe:
+    """Aggregates by each set of keys, in one pass; a key that isn't of the set is null."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    return middle(lambda flow: flow.with_df(flow.df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*aggregates), ()), "grouping sets")
+
+
+def approx_distinct(keys: list[str], column: str, name: str = "distinct", rsd: float = 0.05) -> Pipe:
+    """About how many distinct values of a column each group has, by a sketch of fixed size."""
+    return middle(lambda flow: flow.with_df(flow.df.groupBy(*keys).agg(F.approx_count_distinct(column, rsd).alias(name)), ()), "approximate distinct")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..flow import Flow, Pipe, middle
-from ..session import stored
+from ..session import hinted, stored
 from .ranges import positioned
 
 
@@ -106,3 +106,23 @@ def differences(left: Flow, right: Flow, a: str, b: str) -> Flow:
     first = x.df.select("pos", F.col(a).alias("first"))
     second = y.df.select("pos", F.col(b).alias("second"))
     return Flow(first.join(second, "pos", "full").filter(~F.col("first").eqNullSafe(F.col("second"))), ("pos",))
+
+
+def dealt(flow: Flow, *conditions: Column) -> list[Flow]:
+    """A scan with several outputs: a flow for each condition, of the items for which it is the first that holds, and one of the rest.
+
+    The items are written once and each output filters them.
+    """
+    which = F.coalesce(*[F.when(c, i) for i, c in enumerate(conditions)], F.lit(len(conditions)))
+    held = stored(flow.df.withColumn("__output", which), "dealt")
+    return [flow.with_df(held.filter(F.col("__output") == i).drop("__output")) for i in range(len(conditions) + 1)]
+
+
+def lookup(table: DataFrame, key: str, most: int = 100_000) -> Pipe:
+    """Items with the columns of a small map's row of their key, null where there is none. Keys are unique in the map, or else items repeat."""
+    return middle(lambda flow: flow.with_df(flow.df.join(hinted(table, most), key, "left")), "lookup")
+
+
+def contained(table: DataFrame, key: str, most: int = 100_000) -> Pipe:
+    """Items whose key is in a set."""
+    return middle(lambda flow: flow.with_df(flow.df.join(hinted(table.select(key), most), key, "left_semi")), "contained")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +50,32 @@ def lifo_replay(events: DataFrame, key: list[str], order: list[str], push: Colum
 def priority_replay(events: DataFrame, key: list[str], order: list[str], push: str, value: str, schema: str) -> DataFrame:
     """Each pop with the least value held, in column popped; null from an empty queue.
 
-    What a pop takes depends on all pops before it, so each key's events are replayed in order by one task; a key's events must
-    fit there. Bulk drains, which need no replay, are sorts, and least values by group are aggregates.
+    What a pop takes depends on all pops before it, so a key's events are replayed in order by one task. They stream through it sorted; it
+    holds one heap, as large as the key's queue gets. Bulk drains, which need no replay, are sorts, and least values by group are
+    aggregates. Columns named `push` and `value` drive it; a null value is pushed and popped as the greatest.
     """
+    names = [f.split()[0] for f in schema.split(",")][:-1]
+    at = {c: i for i, c in enumerate(names)}
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heap: list = []
-        popped = []
-        pdf = pdf.sort_values(order)
-        for is_push, v in zip(pdf[push], pdf[value]):
-            if is_push:
-                heapq.heappush(heap, v)
-                popped.append(None)
-            else:
-                popped.append(heapq.heappop(heap) if heap else None)
-        return pdf.assign(popped=popped)[~pdf[push].astype(bool)]
-
-    return events.groupBy(*key).applyInPandas(replay, schema)
+        now = None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            popped, kept = [], []
+            for i, (group, pushes, v) in enumerate(zip(zip(*(columns[at[k]] for k in key)), columns[at[push]], columns[at[value]])):
+                if group != now:
+                    heap, now = [], group
+                if pushes:
+                    heapq.heappush(heap, (v is None, v))
+                else:
+                    kept.append(i)
+                    popped.append(heapq.heappop(heap)[1] if heap else None)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(popped, batch.schema.field(at[value]).type)], names=[*names, "popped"])
+
+    sorted_events = events.select(*names).repartition(*key).sortWithinPartitions(*key, *order)
+    return sorted_events.mapInArrow(replay, schema)
 
 
 def drained(items: DataFrame, *order: Column) -> DataFrame:
@@ -73,6 +83,23 @@ def drained(items: DataFrame, *order: Column) -> DataFrame:
     return items.orderBy(*order)
 
 
+def pop_top(items: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The items that tie at the top, which pop together, and those that stay. The top is one row, which is broadcast."""
+    top = items.agg(F.min(F.struct(*key)).alias("__top"))
+    marked = items.join(F.broadcast(top), F.lit(True), "left")
+    is_top = F.struct(*key).eqNullSafe(F.col("__top"))
+    return marked.filter(is_top).drop("__top"), marked.filter(~is_top).drop("__top")
+
+
+def pop_and_push(items: DataFrame, pushed: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """The first item of a queue, and the queue with the items pushed in its place. `order` tells all items apart."""
+    first = items.orderBy(*order).limit(1)
+    same = F.lit(True)
+    for c in order:
+        same &= items[c].eqNullSafe(first[c])
+    return first, items.join(F.broadcast(first), same, "left_anti").unionByName(pushed)
+
+
 def pop_equals(items: DataFrame, key: list[str], *aggregates: Column) -> DataFrame:
     """Items that tie at the top pop together: an aggregate for each distinct key, in order."""
     return items.groupBy(*key).agg(*aggregates).orderBy(*key)

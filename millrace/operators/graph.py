@@ -73,10 +73,13 @@ def list_rank(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str
     before = step.select(F.col("dst").alias("src"), F.col("src").alias("back"))
     now = step.join(before, "src", "left").select("src", "dst", "weight", F.col("weight").alias("rank"), "back")
     now, rounds, most = stored(now, "rank"), 0, 2 * edges.count().bit_length() + 2
-    while not now.filter("back is not null").isEmpty():
+    # edges that have come to their head are looked up, but leave the rounds
+    done, now = now.filter("back is null"), now.filter("back is not null")
+    while not now.isEmpty():
         if rounds > most:
             raise ValueError("the edges hold a cycle")
-        far = now.select(F.col("src").alias("back"), F.col("rank").alias("more"), F.col("back").alias("further"))
-        now = now.join(far, "back", "left").select("src", "dst", "weight", (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.col("further").alias("back"))
-        now, rounds = stored(now, "rank"), rounds + 1
-    return now.drop("back")
+        far = done.unionByName(now).select(F.col("src").alias("back"), F.col("rank").alias("more"), F.col("back").alias("further"))
+        step = now.join(far, "back").select("src", "dst", "weight", (F.col("rank") + F.col("more")).alias("rank"), F.col("further").alias("back"))
+        step, rounds = stored(step, "rank"), rounds + 1
+        done, now = done.unionByName(step.filter("back is null")), step.filter("back is not null")
+    return done.drop("back")

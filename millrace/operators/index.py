@@ -5,7 +5,8 @@ Parquet's min and max statistics do what inner nodes of a tree do: point and ran
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,27 @@ class SortedIndex:
 
     df: DataFrame
     key: str
+    metadata: dict[str, Any] = field(default_factory=dict)
+
+    def _with(self, df: DataFrame) -> SortedIndex:
+        return replace(self, df=df)
+
+    def with_metadata(self, **values: Any) -> SortedIndex:
+        """The index with values of its own beside the rows; they go along with updates."""
+        return replace(self, metadata={**self.metadata, **values})
+
+    def size(self) -> int:
+        return self.df.count()
+
+    def empty(self) -> bool:
+        return self.df.isEmpty()
 
     # building and storing
     def write(self, path: str, codec: str = "snappy") -> SortedIndex:
         """Bulk load: files are disjoint ranges of the key, sorted within."""
         n = partitions(self.df.sparkSession)
         self.df.repartitionByRange(n, self.key).sortWithinPartitions(self.key).write.mode("overwrite").option("compression", codec).parquet(path)
-        return SortedIndex(self.df.sparkSession.read.schema(self.df.schema).parquet(path), self.key)
+        return self._with(self.df.sparkSession.read.schema(self.df.schema).parquet(path))
 
     # lookups
     def find(self, k) -> DataFrame:
@@ -55,23 +70,36 @@ class SortedIndex:
 
     # updates
     def insert(self, rows: DataFrame) -> SortedIndex:
-        return SortedIndex(self.df.unionByName(rows), self.key)
+        return self._with(self.df.unionByName(rows))
 
     def insert_unique(self, rows: DataFrame) -> SortedIndex:
         """Insert rows whose keys aren't there yet."""
-        return SortedIndex(self.df.unionByName(rows.join(self.df.select(self.key), self.key, "left_anti").select(*self.df.columns)), self.key)
+        return self._with(self.df.unionByName(rows.join(self.df.select(self.key), self.key, "left_anti").select(*self.df.columns)))
 
     def erase(self, *keys) -> SortedIndex:
         """Without the rows of these keys, all of each."""
-        return SortedIndex(self.df.filter(~F.coalesce(F.col(self.key).isin(*keys), F.lit(False))), self.key)
+        return self._with(self.df.filter(~F.coalesce(F.col(self.key).isin(*keys), F.lit(False))))
 
     def erase_rows(self, rows: DataFrame) -> SortedIndex:
-        return SortedIndex(self.df.join(rows.select(self.key), self.key, "left_anti").select(*self.df.columns), self.key)
+        return self._with(self.df.join(rows.select(self.key), self.key, "left_anti").select(*self.df.columns))
+
+    def erase_counted(self, *keys) -> tuple[SortedIndex, int]:
+        """Without the rows of these keys, and how many went."""
+        gone = self.df.filter(F.col(self.key).isin(*keys)).count()
+        return self.erase(*keys), gone
+
+    def erase_one(self, k, *tie: str) -> SortedIndex:
+        """Without one row of a key: the first by the columns `tie` (which tell its rows apart), as an iterator points at one."""
+        one = self.df.filter(F.col(self.key) == F.lit(k)).orderBy(*tie).limit(1).select(self.key, *tie)
+        same = F.lit(True)
+        for c in (self.key, *tie):
+            same &= self.df[c].eqNullSafe(one[c])
+        return self._with(self.df.join(F.broadcast(one), same, "left_anti"))
 
     def upsert(self, rows: DataFrame) -> SortedIndex:
         """Rows replace those of equal keys, others are added."""
         kept = self.df.join(rows.select(self.key), self.key, "left_anti").select(*self.df.columns)
-        return SortedIndex(kept.unionByName(rows.select(*self.df.columns)), self.key)
+        return self._with(kept.unionByName(rows.select(*self.df.columns)))
 
     # aggregates
     def ranks(self, total: Column, *tie: str) -> DataFrame:

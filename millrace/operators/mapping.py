@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,7 +42,7 @@ def linear(column: str, factor: float, term: float, name: str | None = None) ->
     return middle(lambda flow: flow.with_df(flow.df.withColumn(name or column, F.col(column) * factor + term)), "linear")
 
 
-def visit(name: str, *metrics: Column) -> Pipe:
+def visit(name: str | Observation, *metrics: Column) -> Pipe:
     """Identity that observes metrics of the items that pass."""
     return middle(lambda flow: flow.with_df(flow.df.observe(name, *metrics)), "visit")
 

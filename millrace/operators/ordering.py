@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..flow import Flow, Pipe, inverted, middle
@@ -17,6 +17,14 @@ def sort(*order: str) -> Pipe:
     return middle(lambda flow: flow.with_df(flow.df, order), "sort")
 
 
+def sort_by(**keys: Column) -> Pipe:
+    """Order the flow by keys that expressions extract from the items, in the order given; the keys stay as columns of these names.
+
+    What a comparator says of two items, keys say of one: a Column for each criterion, negated or inverted for the opposite order.
+    """
+    return middle(lambda flow: flow.with_df(flow.df.withColumns(keys), tuple(keys)), "sort by")
+
+
 def sorted_rows(flow: Flow) -> DataFrame:
     """The rows, sorted by range."""
     flow.need_order()
@@ -43,6 +51,36 @@ def buffer() -> Pipe:
     return middle(lambda flow: flow.with_df(stored(flow.df, "buffer")), "buffer")
 
 
+def bounded_buffer(size: int) -> Pipe:
+    """A buffer of at most so many items; more raise. Items are written out, so that the bound is one of use, not of memory."""
+
+    def run(flow: Flow) -> Flow:
+        held = flow.with_df(stored(flow.df, "buffer"))
+        if (n := held.df.count()) > size:
+            raise ValueError(f"{n} items don't fit a buffer of {size}")
+        return held
+
+    return middle(run, "bounded buffer")
+
+
+class PassiveBuffer:
+    """A buffer with an input that takes a flow and an output that gives it, each once, first in first out."""
+
+    def __init__(self, size: int | None = None):
+        self.size, self._flow, self._given = size, None, False
+
+    def input(self, flow: Flow) -> None:
+        if self._flow is not None:
+            raise RuntimeError("input was called before")
+        self._flow = (buffer() if self.size is None else bounded_buffer(self.size))(flow)
+
+    def output(self) -> Flow:
+        if self._flow is None or self._given:
+            raise RuntimeError("output comes once, after input")
+        self._given = True
+        return self._flow
+
+
 class PassiveSorter:
     """A sorter with an input that takes a flow and an output that gives it sorted, each once."""
 
@@ -100,11 +138,31 @@ def seek(start: int) -> Pipe:
     return middle(lambda flow: (p := positioned(flow)).with_df(p.df.filter(F.col("pos") >= start)), "seek")
 
 
+#: Items up to which the first ones are kept per task and merged; more are cut off by position.
+MOST_MERGED = 100_000
+
+
 def truncate(size: int) -> Pipe:
     """The first `size` items."""
 
     def run(flow: Flow) -> Flow:
         flow.need_order()
-        return flow.with_df(flow.df.orderBy(*flow.sort_columns()).limit(size))
+        if size <= MOST_MERGED:
+            return flow.with_df(flow.df.orderBy(*flow.sort_columns()).limit(size))
+        p = positioned(flow, "__pos")
+        return flow.with_df(p.df.filter(F.col("__pos") < size).drop("__pos"))
 
     return middle(run, "truncate")
+
+
+def insert_before(position: int, items: Flow) -> Pipe:
+    """The flow with other items, in their own order, before the one at a position; `pos` orders the result."""
+
+    def run(flow: Flow) -> Flow:
+        held, more = positioned(flow), positioned(items)
+        n = more.fetch("items")
+        moved = held.df.withColumn("pos", F.col("pos") + F.when(F.col("pos") >= position, n).otherwise(0))
+        at = min(position, held.fetch("items"))
+        return Flow(moved.unionByName(more.df.withColumn("pos", F.col("pos") + at)), ("pos",))
+
+    return middle(run, "insert before")

@@ -29,5 +29,10 @@ def bit_permute(rows: list[int], shift: int = 0, name: str = "dest") -> Pipe:
 
 
 def shuffled(seed: int) -> Pipe:
-    """A random order."""
-    return middle(lambda flow: flow.with_df(flow.df.withColumn("__rand", F.rand(seed)), ("__rand",)), "random merge")
+    """A random order: by a hash of the order columns, or of all, so that it doesn't depend on how rows are dealt."""
+
+    def run(flow: Flow) -> Flow:
+        keys = [c.lstrip("-") for c in flow.order] or flow.df.columns
+        return flow.with_df(flow.df.withColumn("__rand", F.xxhash64(F.lit(seed), *keys)), ("__rand", *keys))
+
+    return middle(run, "random merge")

@@ -22,7 +22,7 @@ def point_mbr(points: DataFrame) -> DataFrame:
 
 
 def _cell_sizes(a: DataFrame, b: DataFrame) -> tuple[float, float]:
-    """Sides of a grid cell: large enough that rectangles cover few cells, small enough that a cell holds few rectangles."""
+    """Sides of the least grid cells: a cell holds few of evenly spread rectangles, and covers the mean of them."""
     both = a.select(*CORNERS).union(b.select(*CORNERS))
     s = both.agg(F.count("*").alias("n"), F.min("xlo").alias("x0"), F.max("xhi").alias("x1"), F.min("ylo").alias("y0"), F.max("yhi").alias("y1"), F.avg(F.col("xhi") - F.col("xlo")).alias("w"), F.avg(F.col("yhi") - F.col("ylo")).alias("h")).collect()[0]
     if not s.n:
@@ -35,24 +35,33 @@ def _cell_sizes(a: DataFrame, b: DataFrame) -> tuple[float, float]:
 def overlap_join(red: DataFrame, blue: DataFrame, red_id: str, blue_id: str, names: tuple[str, str] = ("red", "blue"), cell: tuple[float, float] | None = None) -> DataFrame:
     """Pairs of ids of rectangles that meet, touching included, each pair once.
 
-    Rectangles are put into the cells of a grid that they cover and joined by cell (a hash or merge join, instead of a nested loop); a
-    pair is reported in the one cell that holds the lower left corner of the intersection.
+    Grids of doubling cells are laid over the plane. A rectangle has the level of the least cells that are no smaller than itself, so that it covers
+    four of them at most, and stands in the cells of its own level and of the coarser ones that occur: a few rows, however large it
+    is. Rectangles are joined by level and cell (a hash or merge join, whose skewed cells Spark splits, instead of a nested loop). A
+    pair meets at the coarser of its two levels, in the one cell that holds the lower left corner of the intersection.
     """
     cx, cy = cell or _cell_sizes(red, blue)
-    at = lambda v, size: F.floor(v / F.lit(float(size)))
+    ratio = F.greatest((F.col("xhi") - F.col("xlo")) / F.lit(float(cx)), (F.col("yhi") - F.col("ylo")) / F.lit(float(cy)))
+    level = F.when(ratio > 1, F.ceil(F.log2(ratio)).cast("int")).otherwise(0)
+    valid = (F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi"))
+    marked = [df.filter(valid).withColumn("__level", level) for df in (red, blue)]
+    levels = sorted({r[0] for r in marked[0].select("__level").union(marked[1].select("__level")).distinct().collect()})  # one row a power of two
+    at = lambda v, size, n: F.floor(v / (F.lit(float(size)) * F.pow(F.lit(2.0), n)))
 
     def covered(df: DataFrame, id_col: str, tag: str) -> DataFrame:
-        xs = F.sequence(at(F.col("xlo"), cx), at(F.col("xhi"), cx))
-        ys = F.sequence(at(F.col("ylo"), cy), at(F.col("yhi"), cy))
-        cells = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-        valid = (F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi"))
-        boxed = df.filter(valid).select(F.col(id_col).alias(f"{tag}_id"), *[F.col(c).alias(f"{tag}_{c}") for c in CORNERS], F.explode(cells).alias("cell"))
-        return boxed.select("*", "cell.cx", "cell.cy").drop("cell")
-
-    r, b = covered(red, red_id, "r"), covered(blue, blue_id, "b")
+        up = F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("__level"))
+        span = lambda n, low, high, size: F.sequence(at(F.col(low), size, n), at(F.col(high), size, n))
+        cells = F.flatten(F.transform(up, lambda n: F.flatten(F.transform(span(n, "xlo", "xhi", cx), lambda x: F.transform(span(n, "ylo", "yhi", cy), lambda y: F.struct(n.alias("n"), x.alias("cx"), y.alias("cy")))))))
+        boxed = df.select(F.col(id_col).alias(f"{tag}_id"), *[F.col(c).alias(f"{tag}_{c}") for c in CORNERS], F.col("__level").alias(f"{tag}_level"), F.explode(cells).alias("cell"))
+        return boxed.select("*", "cell.n", "cell.cx", "cell.cy").drop("cell")
+
+    r, b = covered(marked[0], red_id, "r") if levels else None, covered(marked[1], blue_id, "b") if levels else None
+    if r is None:
+        return red.filter(F.lit(False)).select(F.col(red_id).alias(names[0]), F.lit(None).cast(blue.schema[blue_id].dataType).alias(names[1]))
     meet = (F.col("r_xlo") <= F.col("b_xhi")) & (F.col("b_xlo") <= F.col("r_xhi")) & (F.col("r_ylo") <= F.col("b_yhi")) & (F.col("b_ylo") <= F.col("r_yhi"))
-    here = (at(F.greatest("r_xlo", "b_xlo"), cx) == F.col("cx")) & (at(F.greatest("r_ylo", "b_ylo"), cy) == F.col("cy"))
-    return r.join(b, ["cx", "cy"]).filter(meet & here).select(F.col("r_id").alias(names[0]), F.col("b_id").alias(names[1]))
+    here = (at(F.greatest("r_xlo", "b_xlo"), cx, F.col("n")) == F.col("cx")) & (at(F.greatest("r_ylo", "b_ylo"), cy, F.col("n")) == F.col("cy"))
+    met = r.join(b, ["n", "cx", "cy"]).filter((F.greatest("r_level", "b_level") == F.col("n")) & meet & here)
+    return met.select(F.col("r_id").alias(names[0]), F.col("b_id").alias(names[1]))
 
 
 def interval_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:

@@ -97,7 +97,8 @@ def parallel_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, sum(event_id)::bigint as s, count(*) as n from events group by event_type")
 def fold_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("event_id").alias("s"), F.count("*").alias("n"))
+    by_type = aggregate.fold(F.sum("event_id").alias("s"), F.count("*").alias("n"), by=["event_type"])
+    return by_type(_flow(spark, sf_dir, "events", "event_id"))
 
 
 @query("select range::bigint as pos, (range * 3 * 2)::bigint as v from range(0, 20)")
@@ -235,9 +236,10 @@ def intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).intersectAll(_t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")))
 
 
-@query("select n_nationkey as k from nation except all select s_nationkey from supplier")
+@query("select o_custkey as k from orders except all select c_custkey from customer")
 def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).exceptAll(_t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+    """Customers' further orders: an order for each, less each customer once."""
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).exceptAll(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
 
 
 @query("with a as (select c_custkey x, row_number() over (order by c_custkey) rn from customer), b as (select p_partkey y, row_number() over (order by p_partkey) rn from part), c as (select o_orderkey z, row_number() over (order by o_orderkey) rn from orders) select (rn - 1)::bigint as pos, (x + y + z)::bigint as s from a join b using (rn) join c using (rn)")
@@ -384,14 +386,8 @@ def erase_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.erase(3, 5, 8).erase_rows(x.df.filter("o_orderkey % 7 = 0")).df
 
 
-@query("with a as (select o_orderkey k, o_custkey c, row_number() over (order by o_orderkey) - 1 pos from orders) " + " union all ".join(f"select {i}::bigint as level, (pos // {32 ** (i + 1)})::bigint as node, min(k) as min_key, count(*) as count, sum(c)::bigint as total from a group by 2" for i in range(2)))
-def augmented_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = _orders(spark, sf_dir).levels(32, F.sum("o_custkey").alias("total"))[:2]
-    return combine.union(*[Flow(df.select(F.lit(i).cast("long").alias("level"), "node", "min_key", "count", "total")) for i, df in enumerate(levels)]).df
-
-
 @query("with a as (select o_orderkey k, o_custkey c, row_number() over (order by o_orderkey) - 1 pos from orders), l as (select i, (32 ** (i + 1))::bigint as width from (select unnest(range(0, 12)) as i) where i = 0 or 32 ** i < (select count(*) from orders)) select i::bigint as level, (pos // width)::bigint as node, min(k) as min_key, count(*) as count, sum(c)::bigint as total from a, l group by 1, 2")
-def augmented_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def augmented_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All levels, up to the root."""
     levels = _orders(spark, sf_dir).levels(32, F.sum("o_custkey").alias("total"))
     return combine.union(*[Flow(df.select(F.lit(i).cast("long").alias("level"), "node", "min_key", "count", "total")) for i, df in enumerate(levels)]).df
@@ -435,7 +431,12 @@ def lifo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.lifo_replay(_events(spark, sf_dir), ["user_id"], ["event_id"], F.expr(_PUSH), "v")
 
 
-@query()
+_QUEUE = """with recursive e as (select user_id, event_id, floor(value)::bigint as v, event_id % 3 <> 0 as push, row_number() over (partition by user_id order by event_id) as nth from events),
+r as (select user_id, 0::bigint as nth, []::bigint[] as held, null::bigint as event_id, null::bigint as v, true as push, null::bigint as popped from (select distinct user_id from e)
+union all select r.user_id, e.nth, case when e.push then list_sort(list_append(r.held, e.v)) else r.held[2:] end, e.event_id, e.v, e.push, case when not e.push then r.held[1] end from r join e on e.user_id is not distinct from r.user_id and e.nth = r.nth + 1) """
+
+
+@query(_QUEUE + "select user_id, event_id, v, push, popped from r where not push")
 def pq_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("push", F.expr(_PUSH))
     return containers.priority_replay(events, ["user_id"], ["event_id"], "push", "v", "user_id long, event_id long, v long, push boolean, popped long")
@@ -454,14 +455,8 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.DisjointSets(c, "c_custkey").union_set(edges, "a", "b").find_set()
 
 
-@query("select ((17 + (range * 903584919) % 1073741824) % 1073741824)::bigint as src, (range + 1)::bigint as rank from range(0, 2000)")
-def list_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = linked_list(spark, 2000)
-    return graph.list_rank(edges).select("src", "rank")
-
-
 @query("select src, rank from (select o_orderkey as src, row_number() over (order by o_orderkey) as rank, lead(o_orderkey) over (order by o_orderkey) as dst from orders) where dst is not null")
-def list_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def list_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders, each linked to the one of the next key."""
     x = _orders(spark, sf_dir)
     edges = x.successors(x.df.select(F.col("o_orderkey").alias("src")), "src", "dst", strict=True).filter("dst is not null")
@@ -484,14 +479,8 @@ def mbr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.mbr(_rects(spark, sf_dir))
 
 
-@query(_RECTS + ", b as (select * from r where id % 3 = 0) select r.id as red, b.id as blue from r, b where r.xlo <= b.xhi and b.xlo <= r.xhi and r.ylo <= b.yhi and b.ylo <= r.yhi")
-def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rects(spark, sf_dir)
-    return spatial.overlap_join(r, r.filter("id % 3 = 0"), "id", "id")
-
-
 @query(_RECTS + "select r.id as red, b.id as blue from r, r b where r.xlo <= b.xhi and b.xlo <= r.xhi and r.ylo <= b.yhi and b.ylo <= r.yhi")
-def overlap_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rects(spark, sf_dir)
     return spatial.overlap_join(r, r, "id", "id")
 
@@ -507,15 +496,8 @@ def rtree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.rect_query(_rects(spark, sf_dir), (25, 8, 30, 12)).select("id")
 
 
-@query(_RECTS + ", b as (select id as box, id % 90 as x0, id % 90 + 6 as x1, id % 40 as y0, id % 40 + 5 as y1 from r where id % 50 = 0) select box, id as point from r, b where xlo between x0 and x1 and ylo between y0 and y1")
-def batch_window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rects(spark, sf_dir)
-    boxes = r.filter("id % 50 = 0").select(F.col("id").alias("box"), (F.col("id") % 90).alias("xlo"), (F.col("id") % 40).alias("ylo"), (F.col("id") % 90 + 6).alias("xhi"), (F.col("id") % 40 + 5).alias("yhi"))
-    return spatial.batch_window_query(r.select("id", F.col("xlo").alias("x"), F.col("ylo").alias("y")), boxes, "id", "box")
-
-
 @query(_RECTS + ", b as (select id as box, id % 90 as x0, id % 90 + 6 as x1, id % 40 as y0, id % 40 + 5 as y1 from r) select box, id as point from r, b where xlo between x0 and x1 and ylo between y0 and y1")
-def batch_window_query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rects(spark, sf_dir)
     boxes = r.select(F.col("id").alias("box"), (F.col("id") % 90).alias("xlo"), (F.col("id") % 40).alias("ylo"), (F.col("id") % 90 + 6).alias("xhi"), (F.col("id") % 40 + 5).alias("yhi"))
     return spatial.batch_window_query(r.select("id", F.col("xlo").alias("x"), F.col("ylo").alias("y")), boxes, "id", "box")
@@ -527,24 +509,37 @@ def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_points(points, 40, 20, 10).select("id", "distance2")
 
 
-@query("with e as (select o_custkey as lo, o_custkey + 3 as hi, o_orderkey as id from orders where o_orderkey % 20 = 0) select x.id as a, y.id as b from e x, e y where x.lo <= y.hi and y.lo <= x.hi")
+@query("with e as (select o_custkey as lo, o_custkey + 3 as hi, o_orderkey as id from orders) select x.id as a, y.id as b from e x, e y where x.lo <= y.hi and y.lo <= x.hi")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi"))
     return spatial.interval_join(o, o, "id", "id")
 
 
-@query("with e as (select o_custkey as lo, o_custkey + 3 as hi, o_orderkey as id from orders) select x.id as a, y.id as b from e x, e y where x.lo <= y.hi and y.lo <= x.hi")
-def interval_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi"))
-    return spatial.interval_join(o, o, "id", "id")
+_GRID = _RECTS.replace("with ", "with recursive ", 1) + """, b as (select min(xlo)::double x0, max(xhi)::double x1, min(ylo)::double y0, max(yhi)::double y1 from r),
+g as (select r.*, floor(((xlo + xhi) / 2.0 - x0) * (32767 / greatest(x1 - x0, 1e-300)))::bigint as gx, floor(((ylo + yhi) / 2.0 - y0) * (32767 / greatest(y1 - y0, 1e-300)))::bigint as gy from r, b),
+h as (select id, 14 as k, gx, gy, 0::bigint as value from g
+union all select id, k - 1, case when gy >> k & 1 = 0 then case when gx >> k & 1 = 1 then 32767 - gy else gy end else gx end, case when gy >> k & 1 = 0 then case when gx >> k & 1 = 1 then 32767 - gx else gx end else gy end,
+value * 4 + xor(3 * (gx >> k & 1), gy >> k & 1) from h where k >= 0),
+leaves as (select g.*, h.value as hilbert, row_number() over (order by h.value, g.id) - 1 as pos from g join h on h.id = g.id and h.k = -1) """
 
 
-@query()
+@query(_GRID + "select id, hilbert::bigint as hilbert, pos::bigint as pos, (pos // 16)::bigint as node from leaves")
 def hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.pack(_rects(spark, sf_dir), "id", 16)[0].select("id", "hilbert", "pos", "node")
 
 
-@query()
+@query(_GRID + ", l as (select i, (16 ** (i + 1))::bigint as width from (select unnest(range(0, 8)) as i) where i = 0 or 16 ** i < (select count(*) from part)) select i::bigint as level, (pos // width)::bigint as node, case when i = 0 then count(*) else count(distinct pos // (width // 16)) end::bigint as count, min(xlo)::bigint as xlo, min(ylo)::bigint as ylo, max(xhi)::bigint as xhi, max(yhi)::bigint as yhi from leaves, l group by i, width, pos // width")
+def rtree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels of the packed tree: nodes, their entries, and their rectangles."""
+    levels = spatial.pack(_rects(spark, sf_dir), "id", 16)[1]
+    return combine.union(*[Flow(df.select(F.lit(i).cast("long").alias("level"), "node", "count", "xlo", "ylo", "xhi", "yhi")) for i, df in enumerate(levels)]).df
+
+
+@query("""with p as (select l_quantity as x, min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem group by 1),
+low as (select x, lo as y from p where not exists (select 1 from p a, p b where a.x < p.x and b.x > p.x and (p.x - a.x) * (b.lo - a.lo) - (p.lo - a.lo) * (b.x - a.x) <= 0)),
+high as (select x, hi as y from p where not exists (select 1 from p a, p b where a.x < p.x and b.x > p.x and (p.x - a.x) * (b.hi - a.hi) - (p.hi - a.hi) * (b.x - a.x) >= 0)),
+corners as (select x, y, 0 as side, x as along from low union select x, y, 1, -x from high where not exists (select 1 from low where low.x = high.x and low.y = high.y))
+select x, y, (row_number() over (order by side, along) - 1)::bigint as pos from corners""")
 def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     return geometry.convex_hull(s)
@@ -566,6 +561,13 @@ def matrix_mult(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.multiply(a, a)
 
 
+@query("with a as (select l_partkey p, l_suppkey s, sum(l_linenumber)::bigint v from lineitem group by 1, 2) select x.s as i, y.s as j, sum(x.v * y.v)::bigint as v from a x join a y on x.p = y.p group by 1, 2")
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by suppliers: the parts x suppliers matrix, transposed, times itself."""
+    a = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_linenumber").alias("v"))
+    return matrix.multiply(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), a)
+
+
 @query(_MATRIX + "select i, j, sum(v)::bigint as v from (select i, j, v from a union all select j, i, v from a) group by 1, 2")
 def matrix_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _matrix(spark, sf_dir)
@@ -605,14 +607,8 @@ def general_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permute.general_permute(lambda pos, n: (pos * 7 + 3) % n)(flow).df.select("c_custkey", "dest")
 
 
-@query("select range::bigint as i, xor((bit_count(range & 5) % 2) + 2 * (bit_count(range & 3) % 2) + 4 * (bit_count(range & 7) % 2), 2)::bigint as dest from range(0, 8)")
-def bmmc_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pipe = begin(lambda: range_source(spark, 0, 8)()) | permute.bit_permute([5, 3, 7], 2) | mapping.project("i", "dest")
-    return pipe().df
-
-
 @query("with a as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as pos, length(bin((select count(*) from orders) - 1)) as bits from orders) select o_orderkey, list_sum(list_transform(range(0, bits), lambda i: ((pos >> (bits - 1 - i)) & 1) << i))::bigint as dest from a")
-def bmmc_permute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bmmc_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders, the bits of their positions reversed: places below the next power of two."""
 
     def reversal(pos: Column, n: int) -> Column:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is unset (tests), a folder of our own that goes when Python ends."""
+    """spark.checkpoint.dir, or, where it is unset and all runs in one process (tests), a folder of our own that goes when Python ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.millrace.scratch", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
@@ -32,10 +37,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Compressed with zstd, whose buffers are freed with each file; snappy's wait outside the heap for a garbage collection.
     """
     path = scratch_path(df.sparkSession, name)
+    for made in _made:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside go at the end: for a long session, around an action that writes or collects its result."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield
+    finally:
+        _made.remove(paths)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def hinted(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
     """Broadcast df only where its counted rows are within `most`; beyond, a shuffled join (with adaptive skew handling) is left to Spark."""
     n = df.count() if rows is None else rows

@@ -1,14 +1,19 @@
 """Composition, metadata, and the ordered operators, on the closed-form fixtures."""
 
+import os
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from millrace.flow import Flow, begin, chunk_if, end, forwarder, identity, middle, parallel, preparer
-from millrace.operators import aggregate, combine, mapping, ordering
+from millrace import session, sources
+from millrace.flow import Flow, Shared, begin, checked, chunk_end_if, chunk_if, end, forwarder, identity, middle, parallel, preparer, vfork
+from millrace.operators import aggregate, combine, containers, mapping, matrix, ordering
+from millrace.operators.index import SortedIndex
 from millrace.operators.ranges import Ranges, positioned
-from millrace.sources import from_items, range_source, to_vector, zero
+from millrace.sources import from_items, range_source, readers, to_vector, zero
 
 
 def seq(spark, values, kind="long"):
@@ -146,3 +151,75 @@ def test_edges(spark):
     assert values(sorter.output()) == [1, 2, 3]
     with pytest.raises(RuntimeError):
         sorter.output()
+
+
+def test_sinks_and_observers(spark, tmp_path):
+    flow = Flow(spark.range(10).withColumnRenamed("id", "v"), ("-v",))
+    assert [r.v for r in sources.to_iterator()(flow)] == list(range(9, -1, -1))
+    sources.noop()(flow)
+    seen = spark.sparkContext.accumulator(0)
+    sources.foreach(lambda r: seen.add(r.v))(flow)
+    assert seen.value == 45
+    lines = []
+    observation = Observation("items")
+    logged = (mapping.log_items("here", lines.append) | mapping.visit(observation, F.count("*").alias("n")))(flow)
+    assert lines == ["here: struct<v:bigint> by -v"]
+    logged.df.collect()
+    assert observation.get == {"n": 10}
+    held = combine.tee(f"file://{tmp_path}/tee")(flow)
+    assert held.df.count() == 10 and held.order == flow.order
+    assert sorted(r.v for r in sources.serialized(spark, f"file://{tmp_path}/tee", "v")().df.collect()) == list(range(10))
+
+
+def test_buffers_and_reversers(spark):
+    flow = Flow(spark.range(10).withColumnRenamed("id", "v"), ("v",))
+    assert ordering.bounded_buffer(10)(flow).df.count() == 10
+    with pytest.raises(ValueError):
+        ordering.bounded_buffer(9)(flow)
+    for passive, want in ((ordering.PassiveBuffer(), ("v",)), (ordering.PassiveReverser(), ("-v",))):
+        with pytest.raises(RuntimeError):
+            passive.output()
+        passive.input(flow)
+        assert passive.output().order == want
+        with pytest.raises(RuntimeError):
+            passive.output()
+    assert [r.v for r in ordering.sorted_within("v")(flow).df.coalesce(1).collect()] == list(range(10))
+    assert [r.v for r in containers.drained(flow.df, F.col("v").desc()).collect()][:2] == [9, 8]
+    assert [r.v for r in SortedIndex(flow.df, "v").iterate(reverse=True).collect()][0] == 9
+    x = SortedIndex(flow.df, "v").with_metadata(owner="me")
+    assert x.erase(3).metadata == {"owner": "me"} and x.size() == 10 and not x.empty() and x.erase(*range(10)).empty()
+
+
+def test_truncate_by_position(spark, monkeypatch):
+    flow = Flow(spark.range(100).withColumnRenamed("id", "v").repartition(3), ("-v",))
+    for most in (100_000, 5):
+        monkeypatch.setattr(ordering, "MOST_MERGED", most)
+        assert sorted(r.v for r in ordering.truncate(12)(flow).df.collect()) == list(range(88, 100))
+
+
+def test_virtual_chunks(spark):
+    flow = Flow(spark.range(4).withColumnRenamed("id", "v"), ("v",))
+    with pytest.raises(TypeError):
+        checked(None, "end")
+    with pytest.raises(TypeError):
+        checked(mapping.filter_items("true"), "end")
+    forked = vfork(None, end(lambda f: f.df.count(), "count"))(flow)
+    assert forked.fetch("forked") == 4 and forked.df.count() == 4
+    with pytest.raises(KeyError):
+        Shared().get("nothing")
+    assert chunk_end_if(False, end(lambda f: 1))(flow) is flow
+
+
+def test_generators(spark):
+    assert sources.random_points(spark, 50).filter("x between 0 and 1 and y between 0 and 1").count() == 50
+    assert readers.random_ints(spark, 50, 7).filter("v between 0 and 6").count() == 50
+    cells = matrix.uniform_sparse(spark, 40, 50, 0.25)
+    assert 300 < cells.count() < 700 and cells.filter("v <> 1.0").count() == 0
+
+
+def test_scratch_goes(spark):
+    with session.scratch(spark):
+        held = session.stored(spark.range(5).toDF("v"), "here")
+        path = held.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert held.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)

@@ -275,3 +275,69 @@ def test_asof_within_groups(spark):
             for i, g, x in probes:
                 fit = [] if x is None else [y for h, y in keys if h == g and (y > x if after else y < x) or h == g and not strict and y == x]
                 assert got[i] == (min(fit) if after else max(fit)) if fit else got[i] is None
+
+
+def test_overlap_of_sizes_far_apart(spark):
+    """Rectangles from points to the whole plane, most in one spot: each pair once, and a few rows a rectangle."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        x, y = (rng.random() * 10, rng.random() * 10) if i % 3 else (rng.uniform(-1e5, 1e5), rng.uniform(-1e5, 1e5))
+        w = rng.choice([0.0, 0.1, 1.0, 50.0, 1e4]) * rng.random()
+        rows.append((i, x, y, x + w, y + w * rng.random()))
+    rows += [(300, -1e6, -1e6, 1e6, 1e6), (301, -1e6, 3.0, 1e6, 3.0), (302, 5.0, 9.0, 4.0, 9.0)]
+    df = spark.createDataFrame(rows, "id long, xlo double, ylo double, xhi double, yhi double")
+    got = [(r.red, r.blue) for r in spatial.overlap_join(df, df, "id", "id").collect()]
+    want = {(a[0], b[0]) for a in rows[:302] for b in rows[:302] if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(12,2)"])
+def test_products_of_blocks(spark, kind):
+    rng = np.random.default_rng(4)
+    a, b = (np.where(rng.random(shape) < 0.2, rng.integers(-5, 6, shape), 0) for shape in ((30, 50), (50, 21)))
+    table = lambda m: spark.createDataFrame([(int(i), int(j), int(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, v long").withColumn("v", F.col("v").cast(kind))
+    want = {(int(i), int(j)): int((a @ b)[i, j]) for i, j in zip(*np.nonzero((a != 0).astype(int) @ (b != 0).astype(int)))}
+    for block in (128, 7):
+        assert {(r.i, r.j): int(r.v) for r in matrix.multiply(table(a), table(b), block).collect()} == want
+
+
+def test_ranks_of_many_lists(spark):
+    rng = random.Random(6)
+    edges, want = [], {}
+    nodes = iter(rng.sample(range(10**6), 3000))
+    for length in (1, 2, 3, 7, 64, 65, 300):
+        chain = [next(nodes) for _ in range(length + 1)]
+        total = 0
+        for a, b in zip(chain, chain[1:]):
+            w = rng.randint(1, 9)
+            total += w
+            edges.append((a, b, w))
+            want[a] = total
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "src long, dst long, weight long")
+    assert {r.src: r["rank"] for r in graph.list_rank(df).collect()} == want
+    with pytest.raises(ValueError):
+        graph.list_rank(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "src long, dst long, weight long"))
+    assert graph.list_rank(df.limit(0)).count() == 0
+
+
+def test_priority_queues_of_many_keys(spark):
+    """Queues with null keys and values, in batches smaller than a key."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 2, 3]), i, rng.random() < 0.6, rng.choice([None, *range(5)])) for i in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = containers.priority_replay(spark.createDataFrame(rows, "k long, at long, push boolean, v long").repartition(3), ["k"], ["at"], "push", "v", "k long, at long, push boolean, v long, popped long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held, want = {}, {}
+    for k, at, push, v in rows:
+        q = held.setdefault(k, [])
+        if push:
+            q.append((v is None, v if v is not None else 0))
+            q.sort()
+        else:
+            want[at] = None if not q or q[0][0] else q[0][1]
+            q[:1] = []
+    assert {r["at"]: r.popped for r in got} == want

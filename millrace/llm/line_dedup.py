@@ -25,8 +25,8 @@ LEAST_SURROUNDINGS = 5
 TENTHS = 3
 #: Rows up to which leaves or templates are broadcast.
 MOST_BROADCAST = 50_000
-#: Leaves whose constants (an array each) are broadcast, at most.
-MOST_LEAVES = 10_000
+#: Constant tokens of all leaves together up to which their table is broadcast (some 50 bytes each).
+MOST_CONSTANTS = 200_000
 FIELD = "<*>"
 
 
@@ -84,7 +84,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     constant = spread.groupBy("leaf", "place", "token").agg(F.count_distinct("around").alias("n")).filter(F.col("n") >= LEAST_SURROUNDINGS)
     constant = constant.filter(F.col("token") != FIELD).select("leaf", F.struct("place", "token").alias("c")).groupBy("leaf").agg(F.collect_list("c").alias("constants"))
     # written first, so that a leaf with many lines meets a plain table: broadcast if small, else a join whose skew Spark can split
-    constant = hinted(stored(constant, "constants"), MOST_LEAVES)
+    constant = stored(constant, "constants")
+    constant = hinted(constant, MOST_CONSTANTS, constant.agg(F.coalesce(F.sum(F.size("constants")), F.lit(0))).collect()[0][0])
     template = near.join(constant, "leaf", "left").withColumn("template", F.transform("tokens", lambda t, i: F.when(F.array_contains(F.col("constants"), F.struct(i.alias("place"), t.alias("token"))), t).otherwise(F.lit(FIELD))))
     template = template.withColumn("n_const", F.size(F.filter("template", lambda t: t != FIELD))).filter(2 * F.col("n_const") >= F.size("template"))
     template = template.select("text_key", "at", "around", F.xxhash64("leaf", "template").alias("template"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches
+from .common import CHUNK, hash_spans, in_batches, mix64, word_spans
 
 #: Labelled rows that the model is fitted to, at most (a documented bound; those of least hash of the id).
 TRAIN_ROWS = 20_000
@@ -67,6 +67,89 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def feature_rows(texts: list[str | None]) -> np.ndarray:
+    """The features of many texts, a row each: the same as `features` gives, by sums and runs over whole buffers of text.
+
+    Words, pairs of words and lines are told apart by 64-bit hashes. Texts over CHUNK bytes are measured one by one, so that buffers stay bounded.
+    """
+    out = np.zeros((len(texts), len(FEATURES)))
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if len(raw) > CHUNK:
+            out[i] = features(text)
+            continue
+        held.append((i, raw))
+        size += len(raw) + 1
+        if size >= CHUNK:
+            _measure(held, out)
+            held, size = [], 0
+    if held:
+        _measure(held, out)
+    return out
+
+
+def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of items by owner (ascending): how many distinct hashes each of n owners has, and how often its most frequent one comes."""
+    order = np.lexsort((hashes, owner))
+    o, h = owner[order], hashes[order]
+    begins = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (h[1:] != h[:-1]))) if len(o) else np.empty(0, np.int64)
+    runs = np.diff(np.append(begins, len(o)))
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, o[begins], runs)
+    return np.bincount(o[begins], minlength=n), most
+
+
+def _measure(held: list[tuple[int, bytes]], out: np.ndarray) -> None:
+    """Fill the rows of some texts, which are joined by line ends into one buffer."""
+    n = len(held)
+    buf = np.frombuffer(b"\n".join(raw for _, raw in held) + b"\n", np.uint8)
+    bounds = np.cumsum([0] + [len(raw) + 1 for _, raw in held])
+
+    def by_text(at: np.ndarray, worth: np.ndarray | None = None) -> np.ndarray:
+        total = np.append(0, np.cumsum(np.ones(len(at), np.int64) if worth is None else worth))
+        return np.diff(total[np.searchsorted(at, bounds)])
+
+    starts, ends = word_spans(buf)
+    words = by_text(starts)
+    hashes = hash_spans(buf, starts, ends)
+    owner = np.repeat(np.arange(n), words)
+    distinct, top = _distinct(owner, hashes, n)
+    together = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs = _distinct(owner[together], mix64(hashes[together] * np.uint64(0x9E3779B97F4A7C15) + mix64(hashes[together + 1])), n)[0]
+    line_end = np.flatnonzero(buf == 10)
+    line_start = np.append(0, line_end[:-1] + 1)
+    full = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
+    line_start, line_end = line_start[full], line_end[full]
+    lines = by_text(line_start)
+    own_lines = _distinct(np.repeat(np.arange(n), lines), hash_spans(buf, line_start, line_end), n)[0]
+    kinds = _KINDS[buf]
+    kind = [np.diff(np.append(0, np.cumsum(kinds == k))[bounds]) for k in range(8)]
+    w, inked, some = np.maximum(words, 1), np.maximum(by_text(starts, ends - starts), 1), np.maximum(lines, 1)
+    rows = np.stack(
+        [
+            np.log1p(words),
+            by_text(starts, ends - starts) / w,
+            kind[1] / inked,
+            kind[2] / inked,
+            kind[3] / w,
+            kind[4] / w,
+            kind[5] / w,
+            kind[6] / w,
+            kind[7] / inked,
+            distinct / w**0.8,
+            top / w,
+            np.where(words > 1, 1 - pairs / np.maximum(words - 1, 1), 0),
+            1 - own_lines / some,
+            words / some,
+            by_text(starts, ends - starts > 15) / w,
+        ],
+        axis=1,
+    )
+    out[[i for i, _ in held]] = np.where(words[:, None] > 0, rows, 0.0)
+
+
 # -- model -------------------------------------------------------------------------------------
 
 
@@ -206,29 +289,34 @@ def held_out(doc_id: Column) -> Column:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+        rows = feature_rows(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> PairwiseAdditive:
-    """Fit to labelled documents outside the held-out fold, at most `rows` of them; null labels and labels without a document don't count."""
-    known = labels.select(labels["doc_id"].alias("_id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    """Fit to labelled documents outside the held-out fold, at most `rows` of them; null labels and labels without a document don't count.
+
+    Rows that repeat an id and a label count once, with the least of the id's texts; an id with both labels counts with each.
+    """
+    known = labels.select(labels["doc_id"].alias("_id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
     some = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    texts = docs.join(F.broadcast(some), docs["doc_id"] == some["_id"]).select(some["label"], docs["text"])
+    texts = docs.join(F.broadcast(some), docs["doc_id"] == some["_id"]).groupBy(some["_id"], some["label"]).agg(F.min(docs["text"]).alias("text")).select("label", "text")
     got = in_batches(texts, _measured, "label int, x array<double>").collect()
     data = sorted((tuple(r.x), r.label) for r in got)
     return PairwiseAdditive().fit(np.array([x for x, _ in data]).reshape(len(data), len(FEATURES)), np.array([y for _, y in data], float))
 
 
 def scored(docs: DataFrame, model: PairwiseAdditive, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted for every row; one pass over whole texts, no shuffle. Null texts score as empty ones."""
+    """doc_id, held_out, score (0 to 1) and predicted for every row; one pass over whole texts, no shuffle.
+
+    Null texts score as empty ones; rows that repeat an id score each by its own text. Other columns, whatever their names, play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                x = np.array([features(t) for t in part.column(2).to_pylist()]).reshape(part.num_rows, len(FEATURES))
-                s = model.score(x)
+                s = model.score(feature_rows(part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     source = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARDS = 16
-#: Narrow ranges a shard.
+#: Narrow ranges a shard: what is ordered in one task, and from which share of all bytes on a group of equal texts is divided.
 RANGES = 16
 #: Rows the sample has about for each range (a documented bound: it only places splitters; every count is exact).
 DRAWS = 64
@@ -59,17 +59,17 @@ def _range_of(key: Column, cuts: list[int], heavy: list[int]) -> Column:
     return 2 * _below(key, cuts) + (key.isin(heavy).cast("int") if heavy else F.lit(0))
 
 
-def by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in its shard), grown_shard (null).
 
     Texts are read once, for a slim table that all later steps use; what is ordered in one task is a narrow range, subdivided where
     overfull. The driver gets a bounded sample and one row a range. Repeated rows get slots of their own; null ids are documents
-    too; null and empty texts are equal texts of size 1.
+    too; null and empty texts are equal texts of size 1. Nothing depends on the session's settings: the same rows and parameters give the same shards.
     """
     spark = docs.sparkSession
     rows = stored(slim(docs, id_col, text_col), "sizes")
     total = rows.agg(F.sum("size")).collect()[0][0] or 0
-    parts = max(shards * RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = shards * ranges
     cuts, heavy = splitters(rows, total, parts) if total else ([], [])
     ranged = rows.withColumn("range", _range_of(F.col("key"), cuts, heavy))
     share = max(1, total // parts)

@@ -65,6 +65,41 @@ def test_model_tables():
     assert quality_model.PairwiseAdditive().fit(x[:9], np.ones(9)).score(x[:1])[0] > 0.8
 
 
+def test_features_of_many_texts(spark, odd_texts, small, monkeypatch):
+    """Whole buffers of texts give what one text at a time gives, whatever the buffers' size."""
+    texts = [*odd_texts, "A B\n\n \nA B\nC", "a" * 16 + " b", "x\x0by\x0cz\r\nx", "one", *[r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]]
+    want = np.array([quality_model.features(t) for t in texts])
+    for size in (1 << 19, 3000):
+        monkeypatch.setattr(quality_model, "CHUNK", size)
+        assert np.allclose(quality_model.feature_rows(texts), want, rtol=1e-12, atol=1e-12)
+    assert quality_model.feature_rows([]).shape == (0, len(quality_model.FEATURES))
+
+
+def test_scores_by_plain_lookups(spark, small):
+    """Every document's score is the logistic of the intercept and its bins' entries, looked up one by one."""
+    import bisect
+    import math
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    got = {r.doc_id: r for r in quality_model.scored(docs, model).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        bins = [bisect.bisect_right(list(c), v) for c, v in zip(model.cuts, quality_model.features(r.text))]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins))
+        step = -(-model.bins // model.coarse)
+        total += sum(g[(bins[i] // step) * model.coarse + bins[j] // step] for (i, j), g in zip(model.links, model.grids))
+        score = 1 / (1 + math.exp(-total))
+        assert math.isclose(got[r.doc_id].score, score, rel_tol=1e-9) and got[r.doc_id].predicted == (score >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_repeated_rows_train_once(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    once = quality_model.train(docs, labels)
+    twice = quality_model.train(docs.union(docs), labels.union(labels))
+    assert all(np.array_equal(a, b) for a, b in zip(once.tables + once.grids, twice.tables + twice.grids)) and once.base == twice.base
+
+
 def test_model_on_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -136,6 +171,17 @@ def test_shards(spark, odd_docs, no_docs):
     assert sharding.by_bytes(no_docs).collect() == []
 
 
+def test_shards_do_not_depend_on_settings(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    key = lambda df: sorted(map(repr, df.collect()))
+    first = key(sharding.by_bytes(docs))
+    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    try:
+        assert key(sharding.by_bytes(docs.repartition(7))) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_shards_with_a_hot_text(spark):
     rows = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i} " * 20) for i in range(6000)]
     _, load = _shards(spark.createDataFrame(rows, "doc_id long, text string"))

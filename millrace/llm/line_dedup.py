@@ -45,13 +45,18 @@ def _leaf(line: Column, count: Column) -> Column:
     return F.xxhash64(count, F.array_join(F.transform(lead, _masked), " "))
 
 
+def _key(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def _lines(docs: DataFrame, text_col: str, with_line: bool) -> DataFrame:
     """One row for each line of LEAST_TOKENS or more: text hash, place in the text, leaf and surroundings (as hashes), and the line if asked for.
 
     Surroundings are the leaves of the lines with a word before and after.
     """
     text = F.col(text_col)
-    split = docs.filter(text.isNotNull()).select(F.xxhash64(text).alias("text_key"), F.split(text, "\n").alias("_l"))
+    split = docs.filter(text.isNotNull()).select(_key(text).alias("text_key"), F.split(text, "\n").alias("_l"))
     counted = split.select("text_key", F.filter(F.transform("_l", lambda x, i: F.struct(x.alias("line"), i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0).alias("_l"))
     leafed = counted.withColumn("_k", F.transform("_l", lambda x: _leaf(x["line"], x["n"])))
     k = F.col("_k")
@@ -102,7 +107,7 @@ def cleaned(docs: DataFrame, text_col: str = "text", length_col: str | None = No
     # as many texts may be marked as there are: always a merge join, whose skewed keys (copies) Spark splits
     marks = stored(recurring_lines(docs, text_col), "marks").select(F.col("text_key").alias("__key"), F.col("dropped").alias("__dropped"))
     names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__key"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text_col).alias("__text"), _key(docs[text_col]).alias("__key"))
     marked = held.join(marks.hint("merge"), "__key", "left")
     lines, dropped = F.split("__text", "\n"), F.col("__dropped")
     short = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(dropped, i)), "\n")

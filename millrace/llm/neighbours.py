@@ -151,7 +151,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, share: float | None =
 def searched(rows: DataFrame, every: int, k: int, share: float | None, least: int, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """What `search` gives, and the window it took."""
     spark = rows.sparkSession
-    points = usable(rows, id_col, vec_col).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"))
+    points = usable(rows, id_col, vec_col).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     # of equal vectors, the k + 1 least ids are all that any list can show; the limit works before the shuffle too
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     members = stored(points.withColumn("nth", nth).filter(F.col("nth") <= k + 1).withColumn("point", F.min("vec_id").over(Window.partitionBy("h1", "h2"))), "members")

@@ -201,11 +201,15 @@ class _Known:
         return run[0][order], run[1][order]
 
 
+#: Another order of the byte values, for a second hash of the same words.
+SHUFFLED = np.random.default_rng(64).permutation(256).astype(np.uint8)
+
+
 class WordEncoder:
     """Exact ids of the word tokenizer, each distinct word encoded once by the library.
 
     The tokenizer drops white space and splits before it merges, so that a text's ids are those of its words in a row; words
-    are cut at ASCII white space only, found and told apart in numpy (by 64-bit hashes). Words of Latin letters, with or without a tail
+    are cut at ASCII white space only, found and told apart in numpy (by two 64-bit hashes). Words of Latin letters, with or without a tail
     of ASCII punctuation, are at once the pre-tokens of the library's own rules: its merge model gets them directly,
     lower-cased. All other words pass through its whole chain (normaliser, pre-tokenizer, special tokens).
     """
@@ -223,8 +227,22 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.symbols = _byte_symbols()
         self._clear()
+        self.fits = self._fits()
+
+    def _fits(self) -> bool:
+        """Whether the tokenizer has the rules that words in a row are encoded by; another one encodes whole texts by the library."""
+        latin = "".join(chr(c) for c in [*range(33, 127), *range(161, 256)])
+        probes = ["Hello, World. it's  9 DON'T\n\tx", " ".join(f"Ab{c} {c}Zé{c}{c} a{c}b" for c in latin), "ÀÉ naïve. Straße, x1 1x <0x41> ▁ 漢字 🙂", "\x0ba\x0cb\r\n", "the quick brown fox jumps, internationalization.", ""]
+        try:
+            with np.errstate(over="ignore"):
+                return all(list(self._encode([p.encode()], [not OTHER.search(p)])[0]) == self.whole(p) for p in probes if p) and not self.whole(" \n")
+        except (KeyError, IndexError, AttributeError):
+            return False
+        finally:
+            self._clear()
 
     def _clear(self) -> None:
+        self.checks = _Growing(np.uint64)
         self.known, self.held, self.words = _Known(), 0, 0
         self.flat, self.at = _Growing(np.uint32), _Growing(np.int64)
         self.at.extend(np.zeros(1, np.int64))
@@ -276,14 +294,19 @@ class WordEncoder:
         if len(tail):
             cut = ends[tail] - 1
             starts, ends = np.insert(starts, tail + 1, cut), np.insert(ends, tail, cut)
-        hashes = hash_spans(lower, starts, ends)
+        hashes, checks = hash_spans(lower, starts, ends), hash_spans(SHUFFLED[lower], starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         slots = self.known.find(distinct)
         new = np.flatnonzero(slots < 0)
+        old = np.flatnonzero(slots >= 0)
+        if (checks != checks[first][back]).any() or (self.checks.data[slots[old]] != checks[first[old]]).any():
+            # words of one hash that differ: the library encodes these texts
+            return [np.array(self.whole(raw.decode("utf-8", "surrogatepass")), np.uint32) for raw in raws]
         if len(new):
             whole = lower.tobytes()
             slots[new] = self._learn([whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             self.known.add(distinct[new], slots[new])
+            self.checks.extend(checks[first[new]])
         k = slots[back]
         lens = self.at.data[k + 1] - self.at.data[k]
         stop = np.append(0, np.cumsum(lens))
@@ -304,6 +327,9 @@ class WordEncoder:
                     yield np.concatenate([*rest, close])
                     rest.clear()
 
+        if not self.fits:
+            yield from (np.append(np.array(self.whole(text), np.uint32), close) for text in texts)
+            return
         for text in texts:
             text = text or ""
             raw = text.encode("utf-8", "surrogatepass")
@@ -324,6 +350,8 @@ class WordEncoder:
         return self.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+#: Ids that are read at once, but for a longer document.
+RUN = 1 << 18
 OTHER = re.compile("[^\x00-\xff]")
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -376,11 +404,15 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 reader = TokenReader(f"{folder}/{name}")
-                for a in range(0, len(reader.docs), 4096):
-                    b = min(a + 4096, len(reader.docs))
-                    sums = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(a, b)]
+                a = 0
+                while a < len(reader.docs):
+                    # a run of documents, whose blocks are read and unpacked once
+                    b = max(a + 1, min(a + 4096, int(np.searchsorted(reader.starts, reader.starts[a] + RUN, side="right")) - 1))
                     at = reader.starts[a : b + 1]
+                    raw, cuts = memoryview(reader.ids(int(at[0]), int(at[-1])).astype("<u4").tobytes()), (4 * (at - at[0])).tolist()
+                    sums = [zlib.crc32(raw[x:y]) for x, y in zip(cuts, cuts[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(reader.docs[a:b], pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    a = b
 
     return files.select("file", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

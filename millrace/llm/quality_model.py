@@ -70,7 +70,7 @@ def features(text: str | None) -> list[float]:
 def feature_rows(texts: list[str | None]) -> np.ndarray:
     """The features of many texts, a row each: the same as `features` gives, by sums and runs over whole buffers of text.
 
-    Words, pairs of words and lines are told apart by 64-bit hashes. Texts over CHUNK bytes are measured one by one, so that buffers stay bounded.
+    Words, pairs of words and lines of a text are told apart by 52-bit hashes. Texts over CHUNK bytes are measured one by one, so that buffers stay bounded.
     """
     out = np.zeros((len(texts), len(FEATURES)))
     held: list[tuple[int, bytes]] = []
@@ -82,7 +82,7 @@ def feature_rows(texts: list[str | None]) -> np.ndarray:
             continue
         held.append((i, raw))
         size += len(raw) + 1
-        if size >= CHUNK:
+        if size >= CHUNK or len(held) == 1 << _TEXTS_BITS:
             _measure(held, out)
             held, size = [], 0
     if held:
@@ -90,15 +90,18 @@ def feature_rows(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+#: Texts of a buffer at most: their numbers take the upper bits of sorted keys, beside as many bits of a hash as are left.
+_TEXTS_BITS = 12
+
+
 def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of items by owner (ascending): how many distinct hashes each of n owners has, and how often its most frequent one comes."""
-    order = np.lexsort((hashes, owner))
-    o, h = owner[order], hashes[order]
-    begins = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (h[1:] != h[:-1]))) if len(o) else np.empty(0, np.int64)
-    runs = np.diff(np.append(begins, len(o)))
+    """Of items by owner: how many distinct hashes each of n owners has, and how often its most frequent one comes."""
+    keys = np.sort(owner.astype(np.uint64) << np.uint64(64 - _TEXTS_BITS) | hashes >> np.uint64(_TEXTS_BITS))
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    of = (keys[begins] >> np.uint64(64 - _TEXTS_BITS)).astype(np.int64)
     most = np.zeros(n, np.int64)
-    np.maximum.at(most, o[begins], runs)
-    return np.bincount(o[begins], minlength=n), most
+    np.maximum.at(most, of, np.diff(np.append(begins, len(keys))))
+    return np.bincount(of, minlength=n), most
 
 
 def _measure(held: list[tuple[int, bytes]], out: np.ndarray) -> None:
@@ -124,8 +127,7 @@ def _measure(held: list[tuple[int, bytes]], out: np.ndarray) -> None:
     line_start, line_end = line_start[full], line_end[full]
     lines = by_text(line_start)
     own_lines = _distinct(np.repeat(np.arange(n), lines), hash_spans(buf, line_start, line_end), n)[0]
-    kinds = _KINDS[buf]
-    kind = [np.diff(np.append(0, np.cumsum(kinds == k))[bounds]) for k in range(8)]
+    kind = np.bincount(np.repeat(np.arange(0, 8 * n, 8), np.diff(bounds)) + _KINDS[buf], minlength=8 * n).reshape(n, 8).T
     w, inked, some = np.maximum(words, 1), np.maximum(by_text(starts, ends - starts), 1), np.maximum(lines, 1)
     rows = np.stack(
         [

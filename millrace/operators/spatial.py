@@ -21,15 +21,17 @@ def point_mbr(points: DataFrame) -> DataFrame:
     return points.agg(F.min("x").alias("xlo"), F.min("y").alias("ylo"), F.max("x").alias("xhi"), F.max("y").alias("yhi"))
 
 
-def _cell_sizes(a: DataFrame, b: DataFrame) -> tuple[float, float]:
-    """Sides of the least grid cells: a cell holds few of evenly spread rectangles, and covers the mean of them."""
+def _cell_sizes(a: DataFrame, b: DataFrame) -> tuple[float, float, bool]:
+    """Sides of the least grid cells, which hold few of evenly spread rectangles and cover the mean of them, and whether they cover all."""
     both = a.select(*CORNERS).union(b.select(*CORNERS))
-    s = both.agg(F.count("*").alias("n"), F.min("xlo").alias("x0"), F.max("xhi").alias("x1"), F.min("ylo").alias("y0"), F.max("yhi").alias("y1"), F.avg(F.col("xhi") - F.col("xlo")).alias("w"), F.avg(F.col("yhi") - F.col("ylo")).alias("h")).collect()[0]
-    if not s.n:
-        return 1.0, 1.0
+    w, h = F.col("xhi") - F.col("xlo"), F.col("yhi") - F.col("ylo")
+    s = both.agg(F.count("*").alias("n"), F.min("xlo").alias("x0"), F.max("xhi").alias("x1"), F.min("ylo").alias("y0"), F.max("yhi").alias("y1"), F.avg(w).alias("w"), F.avg(h).alias("h"), F.max(w).alias("widest"), F.max(h).alias("highest")).collect()[0]
+    if not s.n or None in s:
+        return 1.0, 1.0, False
     fine = max(1.0, (s.n / 8) ** 0.5)
     side = lambda low, high, mean: max(2 * float(mean), (float(high) - float(low)) / fine) or 1.0
-    return side(s.x0, s.x1, s.w), side(s.y0, s.y1, s.h)
+    cx, cy = side(s.x0, s.x1, s.w), side(s.y0, s.y1, s.h)
+    return cx, cy, float(s.widest) <= cx and float(s.highest) <= cy
 
 
 def overlap_join(red: DataFrame, blue: DataFrame, red_id: str, blue_id: str, names: tuple[str, str] = ("red", "blue"), cell: tuple[float, float] | None = None) -> DataFrame:
@@ -40,12 +42,12 @@ def overlap_join(red: DataFrame, blue: DataFrame, red_id: str, blue_id: str, nam
     is. Rectangles are joined by level and cell (a hash or merge join, whose skewed cells Spark splits, instead of a nested loop). A
     pair meets at the coarser of its two levels, in the one cell that holds the lower left corner of the intersection.
     """
-    cx, cy = cell or _cell_sizes(red, blue)
+    cx, cy, even = (*cell, False) if cell else _cell_sizes(red, blue)
     ratio = F.greatest((F.col("xhi") - F.col("xlo")) / F.lit(float(cx)), (F.col("yhi") - F.col("ylo")) / F.lit(float(cy)))
     level = F.when(ratio > 1, F.ceil(F.log2(ratio)).cast("int")).otherwise(0)
     valid = (F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi"))
     marked = [df.filter(valid).withColumn("__level", level) for df in (red, blue)]
-    levels = sorted({r[0] for r in marked[0].select("__level").union(marked[1].select("__level")).distinct().collect()})  # one row a power of two
+    levels = [0] if even else sorted({r[0] for r in marked[0].select("__level").union(marked[1].select("__level")).distinct().collect()})  # one row a power of two
     at = lambda v, size, n: F.floor(v / (F.lit(float(size)) * F.pow(F.lit(2.0), n)))
 
     def covered(df: DataFrame, id_col: str, tag: str) -> DataFrame:

@@ -298,10 +298,20 @@ def test_products_of_blocks(spark, kind):
     a, b = (np.where(rng.random(shape) < 0.2, rng.integers(-5, 6, shape), 0) for shape in ((30, 50), (50, 21)))
     table = lambda m: spark.createDataFrame([(int(i), int(j), int(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, v long").withColumn("v", F.col("v").cast(kind))
     want = {(int(i), int(j)): int((a @ b)[i, j]) for i, j in zip(*np.nonzero((a != 0).astype(int) @ (b != 0).astype(int)))}
-    for block in (128, 7):
+    for block in (128, 7, None):
         assert {(r.i, r.j): int(r.v) for r in matrix.multiply(table(a), table(b), block).collect()} == want
 
 
+def test_dense_products_go_by_blocks(spark):
+    dense = spark.range(200 * 200).select(F.floor(F.col("id") / 200).alias("i"), (F.col("id") % 200).alias("j"), (F.col("id") % 7).alias("v"))
+    thin = dense.filter("(i * 7 + j) % 40 = 0")
+    plans = [matrix.multiply(m, m)._jdf.queryExecution().toString() for m in (dense, thin)]
+    assert "MapInArrow" in plans[0] and "MapInArrow" not in plans[1]
+    m = (np.arange(200 * 200) % 7).reshape(200, 200)
+    got = matrix.multiply(dense, dense).toPandas().sort_values(["i", "j"]).v.to_numpy().reshape(200, 200)
+    assert (got == m @ m).all()
+
+
 def test_ranks_of_many_lists(spark):
     rng = random.Random(6)
     edges, want = [], {}

@@ -255,6 +255,61 @@ def test_passages_behind_a_hot_phrase(spark):
     _sound(rows, got)
 
 
+def test_changed_passages_beside_many_that_hold_parts(spark):
+    """Two similar passages without a long equal run, all of whose parts are in many other texts: each pair is found."""
+    rows, pairs = [], []
+    for seed in range(16):
+        rng = random.Random(100 + seed)
+        prose = lambda n, rng=rng: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        passage = prose(90)
+        changed = list(passage)
+        for at in (45,) if seed % 2 else (30, 60):
+            changed[at] = "changed"
+        pairs.append(frozenset((len(rows), len(rows) + 1)))
+        rows += [" ".join(prose(30) + x + prose(30)) for x in (passage, changed)]
+        rows += [" ".join(prose(30) + passage[cut : cut + 38] + prose(30)) for cut in (0, 17, 35, 52) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeated(docs).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} >= set(pairs)
+    _sound(rows, got)
+
+
+def test_alike_joins_all_classes():
+    """Parts of one signature: classes as by comparing all pairs; of a few parts all pairs; what isn't shown is in a passage already."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(1 << 62, size=n, dtype=np.uint64)
+    for count in (4, substring_dedup.ALL, 40):
+        for _ in range(4):
+            cores = [fresh(rng.integers(60, 120)) for _ in range(4)]
+            # cores in a chain: each begins as the one before ends
+            cores += [np.concatenate([c[-40:], fresh(30)]) for c in cores[:2]]
+            parts = []
+            for _ in range(count):
+                core = cores[rng.integers(len(cores))].copy()
+                if rng.random() < 0.8:
+                    core[rng.integers(len(core), size=rng.integers(1, 16))] = fresh(1)
+                parts.append(np.concatenate([fresh(rng.integers(30)), core, fresh(rng.integers(30))]))
+            parts[-1] = np.tile(fresh(5), 20)
+            parts[-2] = np.tile(parts[-1][:5], 12)
+            keys = np.arange(count)
+            both = lambda i, k: substring_dedup.passages(parts[i], parts[k], [0, len(parts[k])]) or substring_dedup.passages(parts[k], parts[i], [0, len(parts[i])])
+            want = {frozenset((i, k)) for k in range(count) for i in range(k) if both(i, k)}
+            got = {frozenset(x[:2]) for x in substring_dedup.alike(keys, parts)}
+            assert got <= want and frozenset((count - 1, count - 2)) in got
+            if count <= substring_dedup.ALL:
+                assert got == want
+
+            def classes(links):
+                names = list(range(count))
+                for x in links:
+                    i, k = (names[y] for y in x)
+                    names = [i if y == k else y for y in names]
+                return {frozenset(y for y in range(count) if names[y] == z) for z in names}
+
+            assert classes(got) == classes(want)
+            assert substring_dedup.alike(np.zeros(count, np.int64), parts) == []
+
+
 def test_collisions_stream():
     """Batches of any size give the same hits: all pairs of signatures of few texts, and each window of a hot one by itself."""
     rng = random.Random(3)

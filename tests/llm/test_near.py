@@ -310,6 +310,65 @@ def test_alike_joins_all_classes():
             assert substring_dedup.alike(np.zeros(count, np.int64), parts) == []
 
 
+def test_passages_of_near_copies(spark):
+    """Of near copies, whose signatures are all hot, every similar pair is found, not only those that make them one class."""
+    rng = random.Random(21)
+    base, rows = [f"w{rng.randrange(10**7)}" for _ in range(120)], []
+    for _ in range(24):
+        text = list(base)
+        for at in rng.sample(range(120), 2):
+            text[at] = f"w{rng.randrange(10**7)}"
+        rows.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeated(docs).collect()
+    x = [common.shingle_hashes(h) for _, h in common.word_hashes(rows)]
+    want = {frozenset((i, k)) for k in range(24) for i in range(k) if substring_dedup.passages(x[i], x[k], [0, len(x[k])])}
+    assert len(want) > 100 and {frozenset((r.doc_id, r.partner_id)) for r in got} >= want
+    _sound(rows, got)
+
+
+def test_alike_leaves_what_is_known(monkeypatch):
+    """Parts known to be in one class and covered, or in windows of one other signature, aren't compared again; a part that isn't is."""
+    rng = np.random.default_rng(3)
+    core, count = rng.integers(1 << 62, size=300, dtype=np.uint64), substring_dedup.ALL + 6
+    parts = [core.copy() for _ in range(count)]
+    for p in parts:
+        p[rng.integers(300, size=4)] = rng.integers(1 << 62, size=1, dtype=np.uint64)
+    made, keys = [], np.arange(count)
+    compare = substring_dedup.passages
+    monkeypatch.setattr(substring_dedup, "passages", lambda *x: made.append(1) or compare(*x))
+    known = [[5]] * count, [[0, 300]] * count
+    assert substring_dedup.alike(keys, parts, *known) == [] and not made
+    assert substring_dedup.alike(keys, parts, over=[[7, 9]] * count) == [] and not made
+    lone = [[5]] * (count - 1) + [[]], [[0, 300]] * (count - 1) + [[]]
+    assert {k for x in substring_dedup.alike(keys, parts, *lone) for k in x[:2]} >= {count - 1}
+    assert substring_dedup.alike(keys, parts, over=[[7, 9]] * (count - 1) + [[8]])
+    windows = [{"sig": s, "begin": b, "end": e} for s, b, e in ((1, 0, 100), (2, 0, 100), (3, 10, 60), (4, 50, 120), (3, 20, 70))]
+    assert substring_dedup._over(windows) == [[], [1], [1, 2], [], [1, 2]]
+
+
+def test_few_alike():
+    """Groups of parts at once: all pairs that share as many shingles as a passage needs, by comparing sets; no pair of one text or over groups."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1 << 62, size=(6, 90), dtype=np.uint64)
+    groups, keys, parts = [], [], []
+    for g in range(30):
+        for _ in range(rng.integers(1, 12)):
+            groups.append(g)
+            keys.append(rng.integers(0, 9))
+            size = rng.integers(50, 90)
+            parts.append(np.where(rng.random(size) < 0.7, pool[rng.integers(6)][:size], rng.integers(1 << 62, size=size, dtype=np.uint64)) if rng.random() < 0.9 else np.tile(pool[0][:3], 20))
+    i, k = substring_dedup.few_alike(np.array(groups), np.array(keys), parts)
+    got = set(zip(i.tolist(), k.tolist()))
+    need = [substring_dedup._needed(p) for p in parts]
+    want = set()
+    for b in range(len(parts)):
+        for a in range(b):
+            if groups[a] == groups[b] and keys[a] != keys[b] and len(np.intersect1d(parts[a], parts[b])) >= max(min(need[a][0], need[b][0]), need[a][1], need[b][1]):
+                want.add((a, b))
+    assert got == want and got
+
+
 def test_collisions_stream():
     """Batches of any size give the same hits: all pairs of signatures of few texts, and each window of a hot one by itself."""
     rng = random.Random(3)

@@ -369,6 +369,25 @@ def test_few_alike():
     assert got == want and got
 
 
+def test_passages_of_the_places_that_a_place_is_made_of():
+    """What a passage of a narrower place covers is covered, though matches further off part it in the wider one."""
+    rng, hidden = np.random.default_rng(9), 0
+    for _ in range(60):
+        a = rng.integers(1 << 62, size=200, dtype=np.uint64)
+        b = np.where(rng.random(200) < rng.choice([0.6, 0.8, 0.9], size=4).repeat(50), a, rng.integers(1 << 62, size=200, dtype=np.uint64))
+        made_of = [x for at in range(0, 150, 25) for x in (at, at + 50)]
+        got, whole = np.zeros(200, bool), np.zeros(200, bool)
+        for found, held in ((substring_dedup.place_passages(a, b, made_of), got), (substring_dedup.passages(a, b, [0, 200]), whole)):
+            for x in found:
+                held[x[2] : x[3]] = True
+        for begin, end in zip(made_of[::2], made_of[1::2]):
+            for x in substring_dedup.passages(a, b, [begin, end]):
+                own = (a == b)[x[2] : x[3]]
+                assert (own & ~got[x[2] : x[3]]).sum() <= substring_dedup.EDGE
+                hidden += (own & ~whole[x[2] : x[3]]).sum() > substring_dedup.EDGE
+    assert hidden
+
+
 def test_collisions_stream():
     """Batches of any size give the same hits: all pairs of signatures of few texts, and each window of a hot one by itself."""
     rng = random.Random(3)

@@ -388,6 +388,76 @@ def test_passages_of_the_places_that_a_place_is_made_of():
     assert hidden
 
 
+def _plain_passages(a, b):
+    """Passages of b that are near duplicates of a: each run's sets are built anew, and no run is given up early."""
+    width, least, percent = substring_dedup.WIDTH, substring_dedup.LEAST, substring_dedup.PERCENT
+    found = []
+    first_in_a = {x: i for i, x in reversed(list(enumerate(a.tolist())))}
+    b = b.tolist()
+
+    def similar(run):
+        y = b[run[0] : run[-1] + 1]
+        if len(y) < least or 100 * len({b[i] for i in run}) < percent * len(set(y)):
+            return False
+        there = [first_in_a[b[i]] for i in run]
+        middle = sorted(t - i for t, i in zip(there, run))[len(run) // 2]
+        for wide in (len(run) // 4 + width, len(run) // 3 + width):
+            near = [t for t, i in zip(there, run) if abs(t - i - middle) <= wide]
+            first, size = min(near), len(y)
+            on = [k for k, x in enumerate(a[first : first + size].tolist()) if x in set(y)]
+            most = max(2 * width - 1, max([y - x for x, y in zip(run, run[1:])], default=1) - 1) + 1
+            reach = next((x for x, y in zip(on, on[1:]) if y - x > most), on[-1]) + 1
+            for last in (max(near) + 1, min(first + size, len(a)), first + reach):
+                x = set(a[first:last].tolist())
+                if last - first >= least * percent // 100 and 100 * len(x & set(y)) >= percent * len(x | set(y)):
+                    found.append((first, last, run[0], run[-1] + 1, len(x & set(y)) / len(x | set(y))))
+                    return True
+        return False
+
+    todo = [[i for i, x in enumerate(b) if x in first_in_a]]
+    while todo:
+        run = todo.pop()
+        if len(run) < least * percent // 100 or run[-1] - run[0] + 1 < least or similar(run):
+            continue
+        worth = [100 * i - percent * (x - run[0]) for i, x in enumerate(run)]
+        low = np.minimum.accumulate(worth)
+        last = int(np.argmax(np.array(worth) - low))
+        begin = int(np.argmin(worth[: last + 1]))
+        if 0 < last + 1 - begin < len(run) and similar(run[begin : last + 1]):
+            todo += [run[:begin], run[last + 1 :]]
+        elif max(gaps := np.diff(run)) > 1:
+            todo += [part.tolist() for part in np.split(np.array(run), np.flatnonzero(gaps == gaps.max()) + 1)]
+    return found
+
+
+def test_passages_are_those_of_plain_sets(monkeypatch):
+    """Texts with changes, inserted and moved blocks and repeated shingles. No set is built for a run that is tried."""
+    rng, cases = np.random.default_rng(12), []
+    for n in range(240):
+        a = rng.integers(1 << 62, size=rng.integers(46, 400), dtype=np.uint64)
+        if n % 3 == 0:  # shingles come again and again
+            a = a[rng.integers(len(a) // 2, size=len(a))]
+        if n % 5 == 0:
+            a = np.concatenate([a, a[: len(a) // 2]])
+        b = np.where(rng.random(len(a)) < rng.choice([0.5, 0.75, 0.85, 0.95], size=len(a) // 25 + 1).repeat(25)[: len(a)], a, rng.integers(1 << 62, size=len(a), dtype=np.uint64))
+        if n % 2:
+            cuts = np.sort(rng.integers(len(b), size=4))
+            pieces = np.split(b, cuts)
+            b = np.concatenate([pieces[k] for k in rng.permutation(5)] if n % 4 == 1 else [*pieces[:3], rng.integers(1 << 62, size=rng.integers(5, 60), dtype=np.uint64), *pieces[3:]])
+        cases.append((a, b))
+    want = [_plain_passages(a, b) for a, b in cases]
+    assert sum(map(bool, want)) > 60 and sum(map(len, want)) > sum(map(bool, want))
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a set is built")
+
+    with monkeypatch.context() as m:
+        for name in ("unique", "isin", "intersect1d"):
+            m.setattr(np, name, refuse)
+        got = [substring_dedup.passages(a, b, [0, len(b)]) for a, b in cases]
+    assert got == want
+
+
 def test_collisions_stream():
     """Batches of any size give the same hits: all pairs of signatures of few texts, and each window of a hot one by itself."""
     rng = random.Random(3)

@@ -1,12 +1,15 @@
 """Near-duplicate documents and passages, and nearest neighbours, against brute force."""
 
+import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.llm import common, near_dedup, neighbours, substring_dedup
 
 from .conftest import shingles, words
@@ -458,6 +461,28 @@ def test_passages_are_those_of_plain_sets(monkeypatch):
     assert got == want
 
 
+def test_only_what_is_read_again_takes_disk(spark, small):
+    """When the passages are found, tables on the way there are gone, and shuffle files but for those of a stage or two; the tables that the result reads go with an outer scratch."""
+    disk, folder = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {x[1] for x in (files.apply(k).getName().split("_") for k in range(files.size())) if x[0] == "shuffle"}
+
+    shuffled, tables, setting = shuffles(), set(os.listdir(folder)), spark.conf.get(name)
+    with session.scratch(spark):
+        got = substring_dedup.repeated(spark.read.parquet(f"{small}/documents.parquet"))
+        for _ in range(50):  # files go in the background
+            if len(shuffles() - shuffled) <= 2:
+                break
+            time.sleep(0.2)
+        assert len(shuffles() - shuffled) <= 2
+        assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - tables} == {"first", "passages", "more"}
+        assert spark.conf.get(name) == setting and got.count()
+    assert not set(os.listdir(folder)) - tables
+
+
 def test_collisions_stream():
     """Batches of any size give the same hits: all pairs of signatures of few texts, and each window of a hot one by itself."""
     rng = random.Random(3)

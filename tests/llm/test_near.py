@@ -391,6 +391,30 @@ def test_passages_of_the_places_that_a_place_is_made_of():
     assert hidden
 
 
+def test_no_run_of_a_place_is_tried_twice(monkeypatch):
+    """Places that overlap share their runs: each is parted once, and the passages are those of each place by itself."""
+    rng, runs, total = np.random.default_rng(4), [], 0
+    part = substring_dedup._densest
+    monkeypatch.setattr(substring_dedup, "_densest", lambda run: runs.append((run[0], run[-1])) or part(run))
+    for _ in range(40):
+        a = rng.integers(1 << 62, size=300, dtype=np.uint64)
+        b = np.where(rng.random(300) < rng.choice([0.6, 0.75, 0.9], size=6).repeat(50), a, rng.integers(1 << 62, size=300, dtype=np.uint64))
+        made_of = [x for at in range(0, 200, 10) for x in (at, at + 100)]
+        want, left = substring_dedup.passages(a, b, [0, 300]), np.isin(b, a)
+        for p in want:
+            left[p[2] : p[3]] = False
+        for begin, end in zip(made_of[::2], made_of[1::2]):
+            for p in substring_dedup.passages(a, b, [begin, end]) if left[begin:end].sum() > substring_dedup.EDGE else ():
+                if left[p[2] : p[3]].any():
+                    want.append(p)
+                    left[p[2] : p[3]] = False
+        runs.clear()
+        assert substring_dedup.place_passages(a, b, made_of) == want
+        assert len(runs) == len(set(runs))
+        total += len(runs)
+    assert total > 100
+
+
 def _plain_passages(a, b):
     """Passages of b that are near duplicates of a: each run's sets are built anew, and no run is given up early."""
     width, least, percent = substring_dedup.WIDTH, substring_dedup.LEAST, substring_dedup.PERCENT

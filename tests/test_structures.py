@@ -3,6 +3,7 @@
 import bisect
 import heapq
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -292,6 +293,28 @@ def test_overlap_of_sizes_far_apart(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_overlap_of_equal_rectangles(spark, monkeypatch):
+    """Equal rectangles are joined as one, in lists of bounded length; ids may be null or repeat."""
+    monkeypatch.setattr(spatial, "LIST", 16)
+    rng = random.Random(3)
+    boxes = [(x, y, x + 2, y + 1) for x in range(5) for y in range(4)]
+    rows = [(None if i % 50 == 0 else i // 2, *(boxes[0] if i % 3 else rng.choice(boxes))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, xlo long, ylo long, xhi long, yhi long")
+    lists = spatial._lists(df, "id").selectExpr("size(ids) as n").collect()
+    assert sum(r.n for r in lists) == 400 and max(r.n for r in lists) < 64 and len(lists) < 80
+    got = Counter((r.red, r.blue) for r in spatial.overlap_join(df, df.filter("xlo < 3"), "id", "id").collect())
+    assert got == Counter((a[0], b[0]) for a in rows for b in rows if b[1] < 3 and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
+
+
+def test_intervals_meet_in_small_cells(spark):
+    """On a line, cells grow no longer with the number of intervals, so that pairs compared grow no faster than they."""
+    for n in (2_000, 32_000):
+        flat = spark.range(n).selectExpr("id", "id * 5 as xlo", "id * 5 + 3 as xhi", "0 as ylo", "0 as yhi")
+        assert spatial._cell_sizes(flat.withColumn("ids", F.array("id")), flat.withColumn("ids", F.array("id")))[0] < 60
+    few = spark.range(3000).selectExpr("id", "id as lo", "id + 3 as hi")
+    assert spatial.interval_join(few, few, "id", "id").count() == 7 * 3000 - 2 * (3 + 2 + 1)
+
+
 @pytest.mark.parametrize("kind", ["long", "double", "decimal(12,2)"])
 def test_products_of_blocks(spark, kind):
     rng = np.random.default_rng(4)

@@ -374,3 +374,31 @@ def test_priority_queues_of_many_keys(spark):
             want[at] = None if not q or q[0][0] else q[0][1]
             q[:1] = []
     assert {r["at"]: r.popped for r in got} == want
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(12,2)"])
+def test_lists_are_contracted(spark, monkeypatch, kind):
+    """Ranks by rounds that each take edges away: what all rounds write is a few times the edges, whatever their number."""
+    monkeypatch.setattr(graph, "FEW_EDGES", 20)
+    rng = random.Random(8)
+    edges, want = [], {}
+    nodes = iter(rng.sample(range(10**6), 3000))
+    for length in (1, 1, 2, 3, 40, 200):
+        chain, total = [next(nodes) for _ in range(length + 1)], 0
+        for a, b in zip(chain, chain[1:]):
+            w = rng.randint(1, 9)
+            total += w
+            edges.append((a, b, w))
+            want[a] = total
+    edges += [(None, 10**7, 5), (10**7, None, 4)]
+    want |= {None: 5, 10**7: 4}
+    rng.shuffle(edges)
+    written, kept = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append(kept(df, name)) or written[-1])
+    df = spark.createDataFrame(edges, "src long, dst long, weight long").withColumn("weight", F.col("weight").cast(kind))
+    got = graph.list_rank(df)
+    assert {r.src: int(r["rank"]) for r in got.collect()} == want and got.columns == ["src", "dst", "weight", "rank"]
+    assert sum(x.count() for x in written) < 6 * len(edges)
+    ring = spark.createDataFrame([(i, (i + 1) % 30, 1) for i in range(30)], "src long, dst long, weight long")
+    with pytest.raises(ValueError):
+        graph.list_rank(ring)

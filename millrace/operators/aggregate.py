@@ -38,8 +38,8 @@ def count_consecutive(columns: list[str], name: str = "count") -> Pipe:
     """Run lengths: one item a run of equal items, with their number; `run` numbers the runs from 1."""
 
     def run(flow: Flow) -> Flow:
-        r = _runs(flow, columns).running("run", F.col("__new"), before=False)
-        return flow.with_df(r.df.groupBy("run", *columns).agg(F.count("*").alias(name)), ("run",))
+        r = _runs(flow, columns).running("run", F.col("__new"), before=False).lengths(name, "__new")
+        return flow.with_df(r.df.select("run", *columns, name), ("run",))
 
     return middle(run, "count_consecutive")
 

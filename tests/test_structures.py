@@ -335,6 +335,18 @@ def test_dense_products_go_by_blocks(spark):
     assert (got == m @ m).all()
 
 
+def test_sparse_products_by_bands(spark, monkeypatch):
+    """All products of a band of rows are made and summed in one task: no shuffle of sums."""
+    monkeypatch.setattr(matrix, "WIDE", 16)
+    rng = np.random.default_rng(9)
+    a, b = (np.where(rng.random((90, 90)) < 0.1, rng.integers(-5, 6, (90, 90)), 0) for _ in "ab")
+    table = lambda m: spark.createDataFrame([(int(i) - 40, int(j) - 40, int(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, v long")
+    want = {(int(i) - 40, int(j) - 40): int((a @ b)[i, j]) for i, j in zip(*np.nonzero((a != 0).astype(int) @ (b != 0).astype(int)))}
+    made = matrix._by_bands(table(a), table(b), 1)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.index("Exchange") and {(r.i, r.j): r.v for r in made.collect()} == want
+
+
 def test_ranks_of_many_lists(spark):
     rng = random.Random(6)
     edges, want = [], {}

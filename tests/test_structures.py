@@ -306,6 +306,16 @@ def test_overlap_of_equal_rectangles(spark, monkeypatch):
     assert got == Counter((a[0], b[0]) for a in rows for b in rows if b[1] < 3 and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
 
 
+def test_windows_of_equal_boxes(spark):
+    """Many equal boxes and points: each distinct box and point meets once, and all pairs of ids come."""
+    points = spark.range(600).selectExpr("id", "id % 3 as x", "id % 2 as y")
+    boxes = spark.range(400).selectExpr("id as box", "id % 2 as xlo", "0 as ylo", "id % 2 + 1 as xhi", "0 as yhi")
+    got = spatial.batch_window_query(points, boxes, "id", "box")
+    assert "explode(b_ids" in got._jdf.queryExecution().toString()
+    assert got.count() == got.distinct().count() == 400 * 200
+    assert got.filter("not (point % 2 = 0 and point % 3 between box % 2 and box % 2 + 1)").isEmpty()
+
+
 def test_intervals_meet_in_small_cells(spark):
     """On a line, cells grow no longer with the number of intervals, so that pairs compared grow no faster than they."""
     for n in (2_000, 32_000):
